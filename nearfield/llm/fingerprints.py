@@ -100,7 +100,41 @@ def fingerprint_rows(docs: DataFrame, lead_chars: int = LEAD_CHARS) -> DataFrame
     )
 
 
-def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS) -> DataFrame:
+#: Up to so many leading spans that documents share are sent to the workers, 24 bytes each.
+MAX_SENT_LEADS = 4_000_000
+
+
+def texts_of_shared(docs: DataFrame, shared: DataFrame, lead_chars: int, most: int = MAX_SENT_LEADS) -> DataFrame:
+    """(lead_doc, doc_id, text) of the documents whose leading span others have; shared: (lead_a, lead_b, lead_n,
+    lead_doc). The spans are sent to the workers, which then send on such texts only; if they are more than `most`, the
+    texts meet them in a shuffle by document instead."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if sent is None else sent.value
+        for b in batches:
+            keys = []
+            for text in b.column(1):
+                h = PrefixHash(text.as_py()[:lead_chars])
+                keys.append((*h.fingerprint(), h.n))
+            if known is None:
+                columns = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 3)]
+                yield pa.RecordBatch.from_arrays([*columns, *b.columns], ["lead_a", "lead_b", "lead_n", "doc_id", "text"])
+                continue
+            leads = pa.array([known.get(k) for k in keys], pa.int64())
+            ok = leads.is_valid()
+            yield pa.RecordBatch.from_arrays([leads.filter(ok), *(c.filter(ok) for c in b.columns)], ["lead_doc", "doc_id", "text"])
+
+    rows = shared.select("lead_a", "lead_b", "lead_n", "lead_doc").limit(most + 1)
+    if rows.count() > most:
+        sent = None
+        keyed = texts.mapInArrow(run, "lead_a long, lead_b long, lead_n long, doc_id long, text string")
+        return keyed.join(shared, ["lead_a", "lead_b", "lead_n"]).select("lead_doc", "doc_id", "text")
+    sent = docs.sparkSession.sparkContext.broadcast({(a, b, n): d for a, b, n, d in rows.toLocalIterator()})
+    return texts.mapInArrow(run, "lead_doc long, doc_id long, text string")
+
+
+def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS, most_sent: int = MAX_SENT_LEADS) -> DataFrame:
     """(doc_id, n_chars, fp_a, fp_b, lead_doc, common) for every row of docs.
 
     fp_a and fp_b are the prefix sums over the whole text: sum of code point * base**i, modulo two primes. Documents
@@ -111,52 +145,46 @@ def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS) -> Data
     but doc_id; an empty one has hashes 0. Null doc_ids are in no bucket: lead_doc and common are null. Only doc_id and
     text are read.
 
-    The hashes are a narrow pass; buckets of more than one document are found from narrow rows; only texts
-    of such buckets are shuffled, by document, and each bucket's text is compared once a member."""
-    narrow = materialize(fingerprint_rows(docs, lead_chars), "fingerprints")
+    The hashes are a narrow pass; buckets of more than one document are found from narrow rows; of such buckets alone
+    the texts are shuffled, to the bucket's first text, in a join whose large partitions can be split."""
+    narrow = materialize(fingerprint_rows(docs, lead_chars).withColumn("lead_n", F.least("n", F.lit(lead_chars))), "fingerprints")
     lead = (
         narrow.where("doc_id is not null and n is not null")
-        .groupBy("lead_a", "lead_b", F.least("n", F.lit(lead_chars)).alias("lead_n"))
-        .agg(F.min("doc_id").alias("lead_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("members"))
+        .groupBy("lead_a", "lead_b", "lead_n")
+        .agg(F.min("doc_id").alias("lead_doc"), F.count("*").alias("members"))
     )
-    tagged = narrow.withColumn("lead_n", F.least("n", F.lit(lead_chars))).join(
-        lead, ["lead_a", "lead_b", "lead_n"], "left"
-    )
-    tagged = tagged.withColumn("lead_doc", F.when(F.col("doc_id").isNotNull(), F.col("lead_doc")))
-    # texts of the documents in shared buckets
-    wanted = tagged.where("members > 1 and doc_id is not null").select("doc_id", "lead_doc").distinct()
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    held = texts.join(wanted, "doc_id").select("lead_doc", "doc_id", "text")
+    lead = materialize(lead, "fingerprint-leads")
+    held = materialize(texts_of_shared(docs, lead.where("members > 1"), lead_chars, most_sent), "fingerprint-texts")
+    firsts = held.where("doc_id = lead_doc").groupBy("lead_doc").agg(F.min("text").alias("first_text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, first = None, None
+        last, first = None, None
         for b in batches:
             out = []
-            for k, d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                h = PrefixHash(text.as_py())
-                if k != bucket:
-                    bucket, first = k, h
-                out.append((k, d, h.n, *h.fingerprint(), first.extension(0, h, 0)))
+            for d, text, other in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, other = PrefixHash(text.as_py()), other.as_py()
+                if other != last:
+                    last, first = other, PrefixHash(other)
+                out.append((d, h.n, *h.fingerprint(), first.extension(0, h, 0)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 6)],
-                ["lead_doc", "doc_id", "n", "fp_a", "fp_b", "common"],
+                [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 5)], ["doc_id", "n", "fp_a", "fp_b", "common"]
             )
 
-    # one lead text a bucket meets its members where their rows lie sorted
     common = (
-        held.repartition("lead_doc")
-        .sortWithinPartitions("lead_doc", "doc_id", "text")
-        .mapInArrow(compare, "lead_doc long, doc_id long, n long, fp_a long, fp_b long, common long")
+        held.join(firsts, "lead_doc")
+        .select("doc_id", "text", "first_text")
+        .mapInArrow(compare, "doc_id long, n long, fp_a long, fp_b long, common long")
         .distinct()
     )
-    shared = tagged.join(common, ["doc_id", "lead_doc", "n", "fp_a", "fp_b"], "left")
-    return shared.select(
+    tagged = narrow.join(lead, ["lead_a", "lead_b", "lead_n"], "left").join(common, ["doc_id", "n", "fp_a", "fp_b"], "left")
+    in_bucket = F.col("doc_id").isNotNull()
+    return tagged.select(
         "doc_id",
         F.col("n").alias("n_chars"),
         "fp_a",
         "fp_b",
-        "lead_doc",
-        F.when(F.col("lead_doc").isNotNull(), F.coalesce("common", "n")).alias("common"),
+        F.when(in_bucket, F.col("lead_doc")).alias("lead_doc"),
+        F.when(in_bucket & F.col("lead_doc").isNotNull(), F.coalesce("common", "n")).alias("common"),
     )
 
 
