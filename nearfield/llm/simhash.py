@@ -90,7 +90,7 @@ def _verify(a: np.ndarray, b: np.ndarray, distance: int, shared: int) -> np.ndar
     x = a ^ b
     equal = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
     ok = equal >= shared
-    ok[ok] = np.bitwise_count(x[ok]).sum(1) <= distance
+    ok[ok] = np.bitwise_count(x[ok].view(np.uint64)).sum(1) <= distance
     return ok
 
 
