@@ -18,20 +18,30 @@ _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset, one of our own (single machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        set_by_code = spark.sparkContext.getCheckpointDir()
-        named = set_by_code or f"file:///tmp/nearfield-{spark.sparkContext.applicationId}"
-    return named.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (named or "file:///tmp/nearfield-shared").rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once as a Parquet table in the shared folder and rereads it: lineage ends there, and the
-    files outlive any executor."""
+    files outlive any executor. They go when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/nearfield/{label}-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/nearfield-{spark.sparkContext.applicationId}"
+    path = f"{root}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nearfield_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(df._nearfield_path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def string_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
