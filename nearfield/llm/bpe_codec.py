@@ -17,7 +17,7 @@ CHUNK_BITS = 10  # a cut after every 1024 bytes on average
 MIN_CHUNK = 128
 MAX_CHUNK = 1 << 14
 #: Bytes of chunk text whose encodings a worker keeps; beyond it the table starts anew (costs time, changes nothing).
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 16 << 20
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _codecs: dict[str, ChunkCodec] = {}
 
@@ -74,7 +74,7 @@ class ChunkCodec:
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
             self.size[i] = len(b)
-        self.kept: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.kept: dict[bytes, np.ndarray] = {}
         self.kept_bytes, self.room = kept_bytes, kept_bytes
         self.encoded = self.reused = self.repaired = 0
 
@@ -83,21 +83,20 @@ class ChunkCodec:
 
     def chunk(self, part: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the chunk, and where they start and end: n+1 byte places."""
-        have = self.kept.get(part)
-        if have is None:
+        ids = self.kept.get(part)
+        if ids is None:
             self.encoded += 1
             ids = self._encode(part)
-            places = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(self.size[ids], out=places[1:])
-            have = ids, places
             if self.room < len(part):
                 self.kept.clear()
                 self.room = self.kept_bytes
-            self.kept[part] = have
+            self.kept[part] = ids
             self.room -= len(part)
         else:
             self.reused += 1
-        return have
+        places = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.size[ids], out=places[1:])
+        return ids, places
 
     def encode(self, raw: np.ndarray, cuts: list[int] | None = None) -> np.ndarray:
         """Token ids of the UTF-8 bytes raw."""
