@@ -1,4 +1,688 @@
-"""Every query of the engine by name, with the SQL that checks it."""
+"""Every query of the engine by name, with the SQL that checks it.
 
-QUERIES = {}
-ORACLES = {}
+All run over whole tables. Where a search needs many queries, every row is one; where it needs one, the query is a fixed vector."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from nearfield.functions import hashing, quant
+from nearfield.functions import vectors as V
+from nearfield.operators import embedding, hnsw, ivf, knn, quantized, sampling
+from nearfield.operators.predicate import compile_filter
+from nearfield.sources import session, snapshot
+from nearfield.sources.store import Config, VectorStore
+from nearfield.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+DIMENSION = 64
+K = 10
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def register(f):
+        key = name or f.__name__
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(session.prepare(spark), sf_dir)
+
+        QUERIES[key] = run
+        if sql is not None:
+            ORACLES[key] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, embedding, label in as many partitions as there are cores: the file alone may be one split."""
+    df = table(spark, sf_dir, "embeddings")
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
+
+
+def every_row(df: DataFrame) -> DataFrame:
+    return df.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in columns})
+
+
+# --- one query vector -------------------------------------------------------------------------------------------------
+
+QUERY = [float((i * 37 + 11) % 64) - 31.5 for i in range(DIMENSION)]
+_Q = "list_transform(range(0, 64), lambda i: ((i * 37 + 11) % 64) - 31.5::DOUBLE)"
+_E = "SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings"
+_ONE = {
+    "cosine": "list_inner_product(e, q) / sqrt(list_inner_product(q, q))",
+    "dot": "list_inner_product(e, q)",
+    "l2": "-list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))",
+}
+
+
+def _one_sql(metric: str, where: str = "true", k: int = K, columns: str = "vec_id, label") -> str:
+    return f"""WITH s AS (SELECT {columns}, {_ONE[metric]} AS s FROM ({_E}), (SELECT {_Q} AS q) WHERE {where})
+SELECT {columns}, round(s, 6) + 0.0 AS score FROM s ORDER BY s DESC, vec_id LIMIT {k}"""
+
+
+def _one(metric: str, native: bool = False):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = knn.nearest(table(spark, sf_dir, "embeddings"), QUERY, K, metric, "vec_id", "embedding", native)
+        return rounded(hits.select("vec_id", "label", "score"), "score")
+
+    return run
+
+
+for _m in V.METRICS:
+    query(_one_sql(_m), f"knn_{_m}_top10")(_one(_m))
+query(_one_sql("cosine"), "knn_cosine_native")(_one("cosine", native=True))
+
+
+@query(_one_sql("cosine", "label <> 3 AND label >= 2"))
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings")
+    df = df.where(compile_filter({"label": {"$ne": 3, "$gte": 2}}, df.schema))
+    return rounded(knn.nearest(df, QUERY, K, "cosine", "vec_id", "embedding").select("vec_id", "label", "score"), "score")
+
+
+@query(f"""SELECT vec_id, round(s, 6) + 0.0 AS score FROM (SELECT vec_id, {_ONE['cosine']} AS s FROM ({_E}), (SELECT {_Q} AS q)) WHERE s >= 0.1""")
+def knn_score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of at least a score: retrieval with a relevance cutoff."""
+    q = np.array(QUERY) / np.linalg.norm(QUERY)
+    df = table(spark, sf_dir, "embeddings").select("vec_id", V.dot(F.col("embedding"), V.vector_literal(q)).alias("score"))
+    return rounded(knn.with_threshold(df, 0.1), "score")
+
+
+# --- every row a query ------------------------------------------------------------------------------------------------
+
+_UNIT = "list_transform(e, lambda x: x / sqrt(list_inner_product(e, e)))"
+
+
+def _batch_sql(metric: str, self_too: bool = True, k: int = K) -> str:
+    q = _UNIT if metric == "cosine" else "e"
+    score = {"l2": "-list_sum(list_transform(list_zip(b.e, a.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"}.get(metric, "list_inner_product(b.e, a.q)")
+    return f"""WITH v AS ({_E}), a AS (SELECT vec_id, {q} AS q FROM v),
+s AS (SELECT a.vec_id AS q_id, b.vec_id, {score} AS s FROM a, v b {'' if self_too else 'WHERE a.vec_id <> b.vec_id'}),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT q_id, vec_id, round(s, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= {k}"""
+
+
+def _batch(metric: str, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = corpus(spark, sf_dir)
+        return rounded(knn.knn_join(every_row(df), df, K, metric, "vec_id", "embedding", **options), "score")
+
+    return run
+
+
+for _m in V.METRICS:
+    query(_batch_sql(_m), f"knn_batch_{_m}")(_batch(_m))
+query(_batch_sql("cosine"), "knn_batch_blocks")(_batch("cosine", broadcast_bytes=0))
+
+
+@query(_batch_sql("cosine", self_too=False, k=9))
+def knn_more_like_this(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = corpus(spark, sf_dir)
+    return rounded(knn.knn_join(every_row(df), df, 9, "cosine", "vec_id", "embedding", exclude_self=True), "score")
+
+
+# --- predicates -------------------------------------------------------------------------------------------------------
+
+_FILTERS = {
+    "filter_eq": ({"label": 3}, "label = 3"),
+    "filter_ne": ({"label": {"$ne": 3}}, "label IS DISTINCT FROM 3"),
+    "filter_in": ({"label": {"$in": [1, 4, 7]}}, "label IN (1, 4, 7)"),
+    "filter_gt": ({"label": {"$gt": 6}}, "label > 6"),
+    "filter_gte": ({"label": {"$gte": 6}}, "label >= 6"),
+    "filter_lt": ({"label": {"$lt": 2}}, "label < 2"),
+    "filter_lte": ({"label": {"$lte": 2}}, "label <= 2"),
+    "filter_and": ({"label": {"$gte": 2, "$lt": 8, "$ne": 5}, "vec_id": {"$gt": 100}}, "label >= 2 AND label < 8 AND label <> 5 AND vec_id > 100"),
+    "filter_empty": ({}, "true"),
+    "filter_wrong_type": ({"label": "3"}, "false"),
+}
+
+
+def _filter(predicate: dict):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = table(spark, sf_dir, "embeddings")
+        return df.where(compile_filter(predicate, df.schema)).select("vec_id", "label")
+
+    return run
+
+
+for _n, (_p, _w) in _FILTERS.items():
+    query(f"SELECT vec_id, label FROM embeddings WHERE {_w}", _n)(_filter(_p))
+
+
+def _doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+@query("SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS DISTINCT FROM 1")
+def filter_ne_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """$ne holds for documents that have no label."""
+    df = _doc_labels(spark, sf_dir)
+    return df.where(compile_filter({"quality": {"$ne": 1}}, df.schema)).select("doc_id", "quality")
+
+
+@query("SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic IS NULL")
+def filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """$eq null holds for an explicit null of a dynamic record, not for a missing field."""
+    df = _doc_labels(spark, sf_dir).withColumn(
+        "metadata", F.when(F.col("quality").isNotNull(), F.to_json(F.struct("quality", "toxic"), {"ignoreNullFields": "false"})).otherwise(F.lit("{}"))
+    )
+    return df.where(compile_filter({"toxic": None}, df.schema, "metadata")).select("doc_id")
+
+
+@query("SELECT event_id FROM events WHERE json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND (props->>'$.k')::DOUBLE >= 50")
+def filter_json_gte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events")
+    return df.where(compile_filter({"k": {"$gte": 50}}, df.schema, "props")).select("event_id")
+
+
+@query("SELECT event_id, props FROM events WHERE json_type(props, '$.k') = 'VARCHAR' AND props->>'$.k' = '69'")
+def filter_strict_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A string operand never meets a number."""
+    df = table(spark, sf_dir, "events")
+    return df.where(compile_filter({"k": "69"}, df.schema, "props")).select("event_id", "props")
+
+
+# --- vector functions -------------------------------------------------------------------------------------------------
+
+
+@query(f"""SELECT vec_id, unnest(range(0, 64))::INT AS i, unnest(list_transform({_UNIT}, lambda x: round(x::FLOAT::DOUBLE, 6) + 0.0)) AS x FROM ({_E})""")
+def normalize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.normalize(F.col("embedding"))).alias("i", "x"))
+    return df.select("vec_id", "i", (F.round(F.col("x").cast("double"), 6) + F.lit(0.0)).alias("x"))
+
+
+@query(f"""SELECT vec_id, round(sqrt(list_inner_product(e, e)), 6) AS norm, round(list_sum(list_transform(list_zip(e, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS sq_dist,
+round(list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q))), 6) + 0.0 AS cosine FROM ({_E}), (SELECT {_Q} AS q)""")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, q = F.col("embedding"), V.vector_literal(QUERY)
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.round(V.norm(e), 6).alias("norm"), F.round(V.sq_dist(e, q), 6).alias("sq_dist"), (F.round(V.cosine(e, q), 6) + F.lit(0.0)).alias("cosine")
+    )
+
+
+# --- text -------------------------------------------------------------------------------------------------------------
+
+TEXT_DIMENSION = 384
+_TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def _fnv(f: str, salt: int = 0) -> str:
+    start = (2166136261 ^ salt) & 0xFFFFFFFF
+    return f"list_reduce(list_concat([{start}::BIGINT], list_transform(string_split({f}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+def _embedded_sql(source: str, id_col: str) -> str:
+    """(id, idx, weight) of every text of a table."""
+    return f"""tok AS (SELECT {id_col}, {_TOKENS.replace('text', 'coalesce(text, $$$$)')} AS t FROM {source}),
+feat AS (SELECT {id_col}, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS f FROM tok),
+hash AS (SELECT f, {_fnv('f')} AS h, {_fnv('f', hashing.SIGN_SALT)} AS g FROM (SELECT DISTINCT f FROM feat)),
+cell AS (SELECT {id_col}, (h % {TEXT_DIMENSION})::INT AS idx, sum(CASE WHEN g & 1 = 0 THEN 1.0::DOUBLE ELSE -1.0 END) AS s FROM feat JOIN hash USING (f) GROUP BY ALL HAVING s <> 0),
+emb AS (SELECT {id_col}, idx, s / sqrt(sum(s * s) OVER (PARTITION BY {id_col})) AS weight FROM cell)"""
+
+
+@query(f"""SELECT token, {_fnv('token')} AS hash, n FROM (SELECT token, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS token FROM documents) GROUP BY token)""")
+def hash_fnv1a_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select(F.explode(hashing.tokenize(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return t.select("token", hashing.fnv1a(F.col("token")).alias("hash"), "n")
+
+
+@query(f"WITH {_embedded_sql('documents', 'doc_id')} SELECT doc_id, idx, round(weight, 6) AS weight FROM emb")
+def hash_embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(embedding.hashed_features(table(spark, sf_dir, "documents"), "doc_id", "text", TEXT_DIMENSION), "weight")
+
+
+def _text_sql(queries: str, q_col: str, q_text: str) -> str:
+    return f"""WITH {_embedded_sql('documents', 'doc_id')},
+{_embedded_sql(queries, q_col).replace('tok ', 'qtok ').replace('FROM tok', 'FROM qtok').replace('feat ', 'qfeat ').replace('FROM feat', 'FROM qfeat').replace('hash ', 'qhash ').replace('JOIN hash', 'JOIN qhash').replace('cell ', 'qcell ').replace('FROM cell', 'FROM qcell').replace('emb ', 'qemb ')},
+s AS (SELECT q.{q_col} AS q_id, d.doc_id, sum(q.weight * d.weight) AS s FROM qemb q JOIN emb d USING (idx) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(s, 5) DESC, doc_id) AS rank FROM s)
+SELECT q_id, doc_id, round(s, 5) AS score, rank::INT AS rank FROM r WHERE rank <= {K}"""
+
+
+def _text_hits(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Sparse: queries and documents meet in the hashed cells that both have; ties beyond float32 fall by doc_id."""
+    d = embedding.hashed_features(docs, "doc_id", "text", TEXT_DIMENSION)
+    q = embedding.hashed_features(queries, "q_id", "text", TEXT_DIMENSION).withColumnRenamed("weight", "q_weight")
+    s = d.join(q, "idx").groupBy("q_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q_weight")), 5).alias("score"))
+    return knn.ranked(s, K, "q_id", "doc_id")
+
+
+@query(_text_sql("benchmark", "item_id", "text"))
+def text_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest documents of every text of benchmark."""
+    return _text_hits(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "q_id"), table(spark, sf_dir, "documents"))
+
+
+@query()
+def text_knn_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """text_knn over dense float32 vectors, as a store holds them."""
+    docs = embedding.hashed_vectors(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", TEXT_DIMENSION)
+    q = embedding.hashed_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text"), "q_id", "text", TEXT_DIMENSION)
+    return rounded(knn.knn_join(q.select("q_id", F.col("vector").alias("q")), docs, K, "cosine", "doc_id", "vector"), "score")
+
+
+@query(_text_sql("(SELECT conv_id * 1000 + turn AS item_id, text FROM conversations WHERE role = 'user')", "item_id", "text"))
+def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest documents of every user turn."""
+    q = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("q_id"), "text")
+    return _text_hits(q, table(spark, sf_dir, "documents"))
+
+
+# --- rotation and codes -----------------------------------------------------------------------------------------------
+
+
+def _rotation_sql() -> str:
+    """rot(i, j, m): the rotation matrix from its signs, two rounds of H."""
+    r = quant.Rotator(DIMENSION)
+    a, b = ("[" + ", ".join(str(int(s)) for s in x) + "]" for x in r.signs)
+    return f"""h AS (SELECT i, j, 1 - 2 * (bit_count((i & j)::BIGINT) % 2) AS h FROM range(0, 64) a(i), range(0, 64) b(j)),
+rot AS (SELECT x.i, y.j, sum(({a})[x.i + 1] * x.h * ({b})[x.j + 1] * y.h)::DOUBLE / 64 AS m FROM h x JOIN h y ON x.j = y.i GROUP BY ALL),
+flat AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+turned AS (SELECT vec_id, j AS i, round(sum(x * m), 9) AS x FROM flat JOIN rot USING (i) GROUP BY vec_id, j)"""
+
+
+@query(f"WITH {_rotation_sql()} SELECT vec_id, i::INT AS i, round(x, 6) + 0.0 AS x FROM turned")
+def rotate_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    long = quantized._rotated(df, quant.Rotator(DIMENSION)).select(F.col("q_id").alias("vec_id"), F.posexplode("q").alias("i", "x"))
+    return long.withColumn("x", F.round(F.round("x", 9), 6) + F.lit(0.0))
+
+
+def _codes_sql(bits: int) -> str:
+    if bits == 1:
+        code, scale = "CASE WHEN x >= 0 THEN 1 ELSE 0 END", "avg(abs(x)) OVER (PARTITION BY vec_id)"
+    else:
+        n = quant.LEVELS[bits]
+        scale = "max(abs(x)) OVER (PARTITION BY vec_id)"
+        code = f"greatest(-{n}, least({n}, floor(x / scale * {n} + 0.5)))"
+    return f"WITH {_rotation_sql()}, c AS (SELECT *, {scale} AS scale FROM turned) SELECT vec_id, i::INT AS i, ({code})::INT AS code, round(scale, 6) AS scale FROM c"
+
+
+def _codes(bits: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _spelled(quantized.encode(table(spark, sf_dir, "embeddings"), quant.Rotator(DIMENSION), bits, "vec_id", "embedding", rounding=9), bits)
+
+    return run
+
+
+def _spelled(codes: DataFrame, bits: int) -> DataFrame:
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                packed = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                c = quant.unpack(packed, bits).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(c), pa.list_(pa.int32())), b.column(2)], ["vec_id", "codes", "scale"])
+
+    rows = codes.mapInArrow(run, "vec_id long, codes array<int>, scale double")
+    return rows.select("vec_id", F.posexplode("codes").alias("i", "code"), F.round("scale", 6).alias("scale"))
+
+
+def _quant_knn(bits: int):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = corpus(spark, sf_dir)
+        r = quant.Rotator(DIMENSION)
+        codes = quantized.encode(df, r, bits, "vec_id", "embedding", rounding=9)
+        return rounded(quantized.quantized_knn(every_row(df), codes, df, K, r, bits, "vec_id", "embedding"), "score")
+
+    return run
+
+
+def _quant_knn_sql(bits: int) -> str:
+    """Candidates by the codes at k times the factor, then exactly."""
+    value = "(2 * code - 1) * scale" if bits == 1 else f"code * scale / {quant.LEVELS[bits]}"
+    inner = _codes_sql(bits).replace("round(scale, 6) AS scale", "scale")
+    w = inner[5:]  # without WITH
+    ctes, last = w.rsplit(" SELECT vec_id", 1)
+    return f"""WITH {ctes}, k AS (SELECT vec_id{last}),
+dec AS (SELECT vec_id, list({value} ORDER BY i) AS v FROM k GROUP BY vec_id),
+full_ AS (SELECT vec_id, list(x ORDER BY i) AS v FROM (SELECT vec_id, j AS i, sum(x * m) AS x FROM flat JOIN rot USING (i) GROUP BY vec_id, j) GROUP BY vec_id),
+c AS (SELECT q.vec_id AS q_id, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, d.v) DESC, d.vec_id) AS n FROM full_ q, dec d),
+e AS ({_E}),
+s AS (SELECT c.q_id, c.vec_id, list_inner_product(a.e, b.e) AS s FROM c JOIN e a ON a.vec_id = c.q_id JOIN e b ON b.vec_id = c.vec_id WHERE n <= {K * quant.RERANK_FACTOR[bits]}),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT q_id, vec_id, round(s, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= {K}""".replace(", c AS (SELECT *", ", c0 AS (SELECT *").replace("FROM c),", "FROM c0),")
+
+
+for _b in (8, 4, 1):
+    query(_codes_sql(_b), f"quant_{_b}bit_codes")(_codes(_b))
+    query(_quant_knn_sql(_b), f"quant_{_b}bit_knn_rerank")(_quant_knn(_b))
+
+
+@query(
+    "\nUNION ALL\n".join(
+        f"""SELECT {b}::INT AS bits, round(max(err), 6) AS max_error, round(max(err / step), 4) <= 0.5 AS within_half_step FROM (
+WITH {_rotation_sql()}, c AS (SELECT *, max(abs(x)) OVER (PARTITION BY vec_id) AS scale FROM turned)
+SELECT abs(x - greatest(-{n}, least({n}, floor(x / scale * {n} + 0.5))) * scale / {n}) AS err, scale / {n} AS step FROM c)"""
+        for b, n in quant.LEVELS.items()
+    )
+)
+def quant_roundtrip_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far decoded vectors lie from the rotated ones: at most half a step."""
+    df, r = table(spark, sf_dir, "embeddings"), quant.Rotator(DIMENSION)
+    turned = quantized._rotated(every_row(df), r).select(F.col("q_id").alias("vec_id"), F.col("q").alias("x"))
+    out = None
+    for bits, level in quant.LEVELS.items():
+        codes = quantized.encode(df, r, bits, "vec_id", "embedding", rounding=9)
+        both = turned.join(quantized.decode(codes, r, bits, "vec_id"), "vec_id").join(codes.select("vec_id", "scale"), "vec_id")
+        err = both.select(F.array_max(F.zip_with("x", "rotated", lambda a, b: F.abs(F.round(a, 9) - b))).alias("err"), (F.col("scale") / level).alias("step"))
+        one = err.agg(
+            F.lit(bits).alias("bits"), F.round(F.max("err"), 6).alias("max_error"), (F.round(F.max(F.col("err") / F.col("step")), 4) <= 0.5).alias("within_half_step")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- inverted lists ---------------------------------------------------------------------------------------------------
+
+NLIST = 16
+#: Fixed centroids, so that each step can be checked by SQL.
+FIXED = ivf.unit_rows(np.array([[float((j * 131 + i * i * 17 + i * 7) % 97) - 48 for i in range(DIMENSION)] for j in range(NLIST)]))
+_CENT = f"""cent AS (SELECT j AS cluster, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS c FROM
+(SELECT j, list_transform(range(0, 64), lambda i: (((j * 131 + i * i * 17 + i * 7) % 97) - 48)::DOUBLE) AS c FROM range(0, {NLIST}) t(j))),
+e AS ({_E}),
+near AS (SELECT e.vec_id, cent.cluster, row_number() OVER (PARTITION BY e.vec_id ORDER BY list_inner_product(e.e, cent.c) DESC, cent.cluster) AS rank FROM e, cent),
+own AS (SELECT e.*, near.cluster FROM e JOIN near USING (vec_id) WHERE rank = 1)"""
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.assign(corpus(spark, sf_dir), FIXED, "embedding")
+
+
+@query(f"WITH {_CENT} SELECT vec_id, cluster::INT AS cluster FROM own")
+def ivf_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).select("vec_id", "cluster")
+
+
+@query(f"WITH {_CENT} SELECT cluster::INT AS cluster, i::INT AS i, round(avg(x), 6) + 0.0 AS x FROM (SELECT cluster, unnest(range(0, 64)) AS i, unnest(e) AS x FROM own) GROUP BY ALL")
+def ivf_kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round's means, before they are normalised."""
+    sums = ivf.lloyd_sums(corpus(spark, sf_dir), FIXED, "embedding")
+    return rounded(sums.select("cluster", F.posexplode(F.transform("total", lambda x: x / F.col("n"))).alias("i", "x")), "x")
+
+
+@query(f"WITH {_CENT} SELECT cluster::INT AS cluster, count(*) AS n FROM own GROUP BY cluster")
+def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assigned(spark, sf_dir).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_CENT}, s AS (SELECT cluster::INT AS cluster, count(*) AS n FROM own GROUP BY cluster) SELECT cluster, n, coalesce(sum(n) OVER (ORDER BY cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM s")
+def ivf_list_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.list_offsets(_assigned(spark, sf_dir))
+
+
+@query(f"WITH {_CENT} SELECT vec_id AS q_id, cluster::INT AS cluster, rank::INT AS rank FROM near WHERE rank <= 4")
+def ivf_probe_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivf.probe(every_row(corpus(spark, sf_dir)), FIXED, 4).select("q_id", "cluster", "rank")
+
+
+def _ivf_sql(nprobe: int) -> str:
+    return f"""WITH {_CENT},
+s AS (SELECT q.vec_id AS q_id, o.vec_id, list_inner_product(a.e, o.e) AS s FROM near q JOIN own o USING (cluster) JOIN e a ON a.vec_id = q.vec_id WHERE q.rank <= {nprobe}),
+r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT q_id, vec_id, round(s, 6) + 0.0 AS score, rank::INT AS rank FROM r WHERE rank <= {K}"""
+
+
+def _ivf_knn(nprobe: int, **options):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lists = ivf.write_lists(_assigned(spark, sf_dir), session.scratch(spark, "lists"))
+        return rounded(ivf.search(every_row(corpus(spark, sf_dir)), lists, FIXED, K, nprobe, "vec_id", "embedding", **options), "score")
+
+    return run
+
+
+query(_ivf_sql(4), "ivf_knn_nprobe4")(_ivf_knn(4))
+query(_ivf_sql(4), "ivf_knn_join")(_ivf_knn(4, broadcast_bytes=0))
+query(_batch_sql("dot"), "ivf_knn_full")(_ivf_knn(NLIST))
+
+
+@query(f"""WITH {_CENT},
+p AS (SELECT a.vec_id AS q_id, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.e, b.e) DESC, b.vec_id) AS n FROM e a, e b WHERE a.vec_id <> b.vec_id),
+need AS (SELECT near.rank FROM p JOIN own USING (vec_id) JOIN near ON near.vec_id = p.q_id AND near.cluster = own.cluster WHERE n <= {K}),
+every_ AS (SELECT unnest(range(1, {NLIST} + 1)) AS nprobe)
+SELECT nprobe::INT AS nprobe, (SELECT count(*) FROM need WHERE rank <= nprobe) AS hits, (SELECT count(*) FROM need WHERE rank <= nprobe)::DOUBLE / (SELECT count(*) FROM need) AS recall FROM every_""")
+def ivf_tune_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _assigned(spark, sf_dir)
+    return ivf.recall_curve(every_row(df), df, FIXED, K, "vec_id", "embedding")
+
+
+def _trained(spark: SparkSession, sf_dir: str):
+    df = corpus(spark, sf_dir)
+    n = df.count()
+    sample = ivf.hash_sample(df, ivf.SAMPLE_SIZE, "vec_id")
+    centroids = ivf.train_centroids(sample, ivf.choose_nlist(n), "vec_id", "embedding", seed=1)
+    return df, centroids, ivf.write_lists(ivf.assign(df, centroids, "embedding"), session.scratch(spark, "lists"))
+
+
+@query(_batch_sql("dot"))
+def ivf_trained_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained centroids, all lists probed: exact."""
+    df, centroids, lists = _trained(spark, sf_dir)
+    return rounded(ivf.search(every_row(df), lists, centroids, K, len(centroids), "vec_id", "embedding"), "score")
+
+
+@query()
+def ivf_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nlist, nprobe, estimate, recall): the tuner at a target of 0.9 against the recall over all rows."""
+    df, centroids, lists = _trained(spark, sf_dir)
+    nprobe, estimate = ivf.tune(lists, centroids, 0.9, "vec_id", "embedding")
+    truth = knn.knn_join(every_row(df), df, K, "dot", "vec_id", "embedding")
+    found = ivf.search(every_row(df), lists, centroids, K, nprobe, "vec_id", "embedding")
+    r = knn.recall(truth, found, K, "vec_id")
+    return r.select(F.lit(len(centroids)).alias("nlist"), F.lit(nprobe).alias("nprobe"), F.lit(estimate).alias("estimate"), "recall")
+
+
+@query()
+def ivf_int8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists over 8-bit codes, re-ranked."""
+    df, r = corpus(spark, sf_dir), quant.Rotator(DIMENSION)
+    base = quantized.decode(quantized.encode(df, r, 8, "vec_id", "embedding"), r, 8, "vec_id").withColumnRenamed("rotated", "embedding")
+    centroids = ivf.train_centroids(ivf.hash_sample(base, ivf.SAMPLE_SIZE, "vec_id"), NLIST, "vec_id", "embedding")
+    lists = ivf.write_lists(ivf.assign(base, centroids, "embedding"), session.scratch(spark, "lists"))
+    found = ivf.search(quantized._rotated(every_row(df), r), lists, centroids, K * quant.RERANK_FACTOR[8], 8, "vec_id", "embedding")
+    return rounded(quantized.rerank(every_row(df), found, df, K, "dot", "vec_id", "embedding"), "score")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE false")
+def sample_merge_is_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by which the sample of the whole differs from the merged samples of two parts: none."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    cap = 100
+    whole = sampling.hash_sample(df, cap, "vec_id")
+    a, b = (sampling.hash_sample(df.where(c), cap, "vec_id") for c in ("label < 5", "label >= 5"))
+    return whole.exceptAll(sampling.merge_samples(a, b, cap, "vec_id"))
+
+
+@query()
+def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hash_sample(table(spark, sf_dir, "embeddings").select("vec_id", "label"), 100, "vec_id")
+
+
+# --- graph ------------------------------------------------------------------------------------------------------------
+
+
+def _graph(spark: SparkSession, sf_dir: str, shards: int = 8) -> DataFrame:
+    at = session.scratch(spark, "graph")
+    hnsw.build(corpus(spark, sf_dir), "dot", shards, "vec_id", "embedding").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+@query()
+def hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(hnsw.search(every_row(corpus(spark, sf_dir)), _graph(spark, sf_dir), K, 64, "dot", "vec_id"), "score")
+
+
+@query("SELECT vec_id FROM embeddings")
+def hnsw_edges_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that some layer-0 edge starts from: all."""
+    g = _graph(spark, sf_dir, 4)
+    linked = hnsw.edges(g, "vec_id").where("level = 0 AND size(neighbours) > 0").select("shard", F.col("row").alias("pos"))
+    return g.join(linked, ["shard", "pos"], "left_semi").select("vec_id")
+
+
+@query()
+def recall_at_10_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(index, recall) of every approximate index against the exact join, every row a query."""
+    df = corpus(spark, sf_dir)
+    q = every_row(df)
+    truth = knn.knn_join(q, df, K, "dot", "vec_id", "embedding")
+    r = quant.Rotator(DIMENSION)
+    found = {"hnsw_ef64": hnsw.search(q, _graph(spark, sf_dir), K, 64, "dot", "vec_id")}
+    for bits in (8, 4, 1):
+        codes = quantized.encode(df, r, bits, "vec_id", "embedding")
+        found[f"{bits}bit"] = quantized.quantized_knn(q, codes, df, K, r, bits, "vec_id", "embedding")
+    out = None
+    for name, hits in found.items():
+        one = knn.recall(truth, hits, K, "vec_id").select(F.lit(name).alias("index"), "recall")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- the store --------------------------------------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession, sf_dir: str, **config) -> VectorStore:
+    df = table(spark, sf_dir, "embeddings")
+    store = VectorStore(spark, session.scratch(spark, "store"), Config(DIMENSION, **config))
+    store.add_batch(df.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata")))
+    return store
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("vec_id"))
+
+
+@query("SELECT vec_id, (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS n FROM embeddings")
+def store_rows_are_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers run from 0 without a gap, each once."""
+    rows = _store(spark, sf_dir).live()
+    w = Window.orderBy(F.col("id").cast("long"))
+    numbers = rows.select("row").withColumn("vec_id", F.row_number().over(Window.orderBy("row")) - 1).where("vec_id = row").select(F.col("row").alias("n"))
+    named = rows.select(F.col("id").cast("long").alias("vec_id"), (F.row_number().over(w) - 1).cast("long").alias("n"))
+    return named.join(numbers, "n", "left_semi").select("vec_id", "n")
+
+
+@query("SELECT vec_id FROM embeddings WHERE label <> 3")
+def store_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.delete_where({"label": 3})
+    return _ids(store.live())
+
+
+@query("SELECT vec_id, CASE WHEN label >= 5 THEN -1 ELSE label END::INT AS label FROM embeddings")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.upsert(store.live().where(F.get_json_object("metadata", "$.label").cast("int") >= 5).select("id", "vector", F.lit('{"label": -1}').alias("metadata")))
+    return store.live().select(F.col("id").cast("long").alias("vec_id"), F.get_json_object("metadata", "$.label").cast("int").alias("label"))
+
+
+@query("SELECT count(*) AS live, (count(*) - 1)::BIGINT AS last_row FROM embeddings WHERE label <> 3")
+def store_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir)
+    store.delete_where({"label": 3})
+    store.compact()
+    return store.live().agg(F.count("*").alias("live"), F.max("row").alias("last_row"))
+
+
+@query(f"SELECT vec_id, round(list_inner_product(e, e), 5) AS sq FROM ({_E}) WHERE vec_id = 17")
+def store_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _store(spark, sf_dir).get("17")
+    return spark.createDataFrame([(int(found["id"]), round(sum(x * x for x in found["vector"]), 5))], "vec_id long, sq double")
+
+
+@query("SELECT 'refused' AS outcome, count(*) AS live FROM embeddings")
+def dup_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with an id that the store has is refused as a whole."""
+    store = _store(spark, sf_dir)
+    outcome = "taken"
+    try:
+        store.add_batch([{"id": "new", "vector": [1.0] * DIMENSION}, {"id": "1", "vector": [1.0] * DIMENSION}])
+    except ValueError:
+        outcome = "refused"
+    return store.live().agg(F.lit(outcome).alias("outcome"), F.count("*").alias("live"))
+
+
+@query(_one_sql("cosine", "label IN (1, 2)", columns="vec_id"))
+def store_query_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _store(spark, sf_dir, normalize=False)
+    q = np.array(QUERY) / np.linalg.norm(QUERY)
+    hits = store.query_batch([q.tolist()], K, {"label": {"$in": [1, 2]}})
+    return rounded(hits.select(F.col("id").cast("long").alias("vec_id"), "score"), "score")
+
+
+_SAME = "SELECT vec_id, label, round(list_sum(embedding::DOUBLE[]), 5) + 0.0 AS total FROM embeddings"
+
+
+def _told(store: VectorStore) -> DataFrame:
+    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return store.live().select(
+        F.col("id").cast("long").alias("vec_id"), F.get_json_object("metadata", "$.label").cast("int").alias("label"), (F.round(total, 5) + F.lit(0.0)).alias("total")
+    )
+
+
+@query(_SAME)
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _store(spark, sf_dir, normalize=False).export()
+    return _told(VectorStore.import_(spark, session.scratch(spark, "store"), data))
+
+
+@query(_SAME)
+def snapshot_encrypted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _store(spark, sf_dir, normalize=False).export("pass phrase")
+    assert snapshot.is_sealed(data)
+    return _told(VectorStore.import_(spark, session.scratch(spark, "store"), data, "pass phrase"))
+
+
+@query(_SAME)
+def store_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, then opened again from its folder."""
+    store = _store(spark, sf_dir, normalize=False)
+    store.save()
+    return _told(VectorStore(spark, store.root, store.config))
+
+
+# --- streams ----------------------------------------------------------------------------------------------------------
+
+
+def _event_vector():
+    return F.array(F.col("value"), F.hour("ts").cast("double"), F.lit(1.0), F.lit(0.0))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = VectorStore(spark, session.scratch(spark, "store"), Config(4))
+    path = session.scratch(spark, "events")
+    table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), _event_vector().alias("vector"), F.to_json(F.struct("event_type")).alias("metadata")
+    ).repartition(4).write.parquet(path)
+    stream = spark.readStream.schema("id string, vector array<double>, metadata string").option("maxFilesPerTrigger", 2).parquet(path)
+    ingest.ingest(stream, store).awaitTermination()
+    return store.live().groupBy(F.get_json_object("metadata", "$.event_type").alias("event_type")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY user_id")
+def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's record is that of the last event."""
+    store = VectorStore(spark, session.scratch(spark, "store"), Config(4))
+    path = session.scratch(spark, "events")
+    table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("id"), _event_vector().alias("vector"), F.to_json(F.struct("event_id")).alias("metadata"), F.struct("ts", "event_id").alias("at")
+    ).coalesce(1).write.parquet(path)
+    schema = spark.read.parquet(path).schema
+    ingest.upsert(spark.readStream.schema(schema).parquet(path), store, "at").awaitTermination()
+    return store.live().select(F.col("id").cast("long").alias("user_id"), F.get_json_object("metadata", "$.event_id").cast("long").alias("last_event"))
