@@ -35,12 +35,13 @@ class _Typed:
     def equals(self, value: Any) -> Column:
         if value is None or _kind(value) != self.kind:
             return F.lit(False)
-        return F.coalesce(self.column == F.lit(value), F.lit(False))
+        # false, not NULL, where the field is missing; unlike coalesce() both terms are pushed into the scan
+        return self.column.isNotNull() & (self.column == F.lit(value))
 
     def compares(self, how: str, value: float) -> Column:
         if self.kind != "number":
             return F.lit(False)
-        return F.coalesce(getattr(self.column, how)(F.lit(value)), F.lit(False))
+        return self.column.isNotNull() & getattr(self.column, how)(F.lit(value))
 
 
 class _Variant:

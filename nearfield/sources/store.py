@@ -22,6 +22,8 @@ from nearfield.operators.embedding import Embedder, embed_column
 from nearfield.operators.predicate import compile_filter
 from nearfield.sources import files, snapshot
 
+#: Up to so many records that meet a predicate are scored exactly, whatever the index.
+EXACT_ROWS = 4096
 _ROW = "id string, vector array<float>, metadata string"
 
 
@@ -342,8 +344,8 @@ class VectorStore:
     ) -> DataFrame:
         """(q_id, id, score, metadata, rank) for queries (q_id, q), or for vectors numbered from 0. Options count for this call only.
 
-        The predicate is part of the plan below the top-k: exact on flat and inverted-list indexes; a graph is walked until
-        enough of its hits meet it."""
+        The predicate is part of the plan below the top-k. If at most EXACT_ROWS records meet it they are scored exactly; beyond that
+        flat and inverted lists are searched among what meets it, and a graph is walked until enough of its hits do."""
         c = self.config
         if isinstance(queries, DataFrame):
             q = queries
@@ -357,7 +359,10 @@ class VectorStore:
         live = self.live()
         if filter is not None:
             live = live.where(compile_filter(filter, live.schema, "metadata"))
-        if k <= 0 or not self.count:
+        few = filter is not None and (c.ann or c.quant_bits) and live.select("row").limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
+        if few and k > 0:
+            hits = knn.knn_join(q, live, k, "l2" if c.metric == "l2" else "dot", "row", normalize_queries=False)
+        elif k <= 0 or not self.count:
             hits = q.select("q_id", F.lit(0).cast("long").alias("row"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         else:
             self.build()
