@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textscan import SPACE, groups_of_rows, mix64, powers, runs, span_hashes, string_spans, words_of
+from nearfield.llm.textscan import SPACE, groups_of_rows, powers, runs, span_hashes, string_spans, words_of
 
 #: A passage is repeated if it has so many words.
 PASSAGE_WORDS = 50
@@ -21,38 +21,43 @@ _SEGMENTS = 20_000
 _INK = (1 - SPACE).astype(np.uint8)
 
 
-def _sliding(h: np.ndarray, w: int, pick) -> np.ndarray:
-    """pick over h[i:i+w] for every i, by doubling."""
-    have, out = 1, h
+def sliding_least(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least value, its first place) of h[i:i+w] for every i, by doubling."""
+    value, place, have = h, np.arange(len(h)), 1
     while have < w:
         step = min(have, w - have)
-        out = pick(out[:-step], out[step:])
+        a, b = value[:-step], value[step:]
+        right = b < a
+        value, place = np.where(right, b, a), np.where(right, place[step:], place[:-step])
         have += step
-    return out
+    return value, place
 
 
-def seeds(row: np.ndarray, h: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions among the words, hashes) of the seeds: spans that have the least hash of some passage of `words`
-    words in one row."""
+def seeds(row: np.ndarray, h: np.ndarray, words: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, first, last) for runs of passages of `words` words, from word first to word last, that have one seed:
+    the span of `seed` words with the least hash in the passage, the first of equals."""
     n, w = len(h), words - seed + 1
+    none = np.zeros(0, np.int64)
     if n < words:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.arange(n - seed + 1)
-    g = span_hashes(h, first, first + seed)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    g = np.where(row[first] == row[first + seed - 1], np.minimum(g, top - np.uint64(1)), top)
-    least = _sliding(g, w, np.minimum)
-    inside = row[: n - words + 1] == row[words - 1 :]
-    least = np.where(inside, least[: n - words + 1], np.uint64(0))  # 0: the passage crosses rows
-    padded = np.zeros(len(g) + w - 1, np.uint64)
-    padded[w - 1 : w - 1 + len(least)] = least
-    most = _sliding(padded, w, np.maximum)
-    at = np.flatnonzero((most == g) & (g != top))
-    return at, g[at]
+        return none, np.zeros(0, np.uint64), none, none
+    at = np.arange(n - seed + 1)
+    g = span_hashes(h, at, at + seed)
+    _, place = sliding_least(g, w)
+    start = np.flatnonzero(row[: n - words + 1] == row[words - 1 :])  # passages within a row
+    place = place[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(start)] - 1 if len(start) else none
+    return place[first], g[place[first]], start[first], start[last]
+
+
+_SEED = "seed long, doc_id long, word int, back int, count int"
 
 
 def seed_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(seed, doc_id, word): where each document has its seeds."""
+    """(seed, doc_id, word, back, count): each document's seeds; the passages that have one begin `back` words before its word
+    and are `count`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,14 +65,18 @@ def seed_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
             raw, starts, ends = string_spans(b.column(1))
             for lo, hi in groups_of_rows(starts, ends, _CHUNK):
                 row, _, _, h = words_of(raw, starts[lo:hi], ends[lo:hi], _INK, fold=False)
-                at, g = seeds(row, h, words, seed)
-                first = np.searchsorted(row, np.arange(hi - lo))
+                at, g, first, last = seeds(row, h, words, seed)
+                base = np.searchsorted(row, np.arange(hi - lo))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(ids[lo:hi][row[at]]), pa.array((at - first[row[at]]).astype(np.int32))],
-                    ["seed", "doc_id", "word"],
+                    [
+                        pa.array(g.view(np.int64)),
+                        pa.array(ids[lo:hi][row[at]]),
+                        *(pa.array(x.astype(np.int32)) for x in (at - base[row[at]], at - first, last - first + 1)),
+                    ],
+                    ["seed", "doc_id", "word", "back", "count"],
                 )
 
-    return docs.mapInArrow(run, "seed long, doc_id long, word int")
+    return docs.mapInArrow(run, _SEED)
 
 
 def shared_seeds(rows: DataFrame) -> DataFrame:
@@ -92,11 +101,11 @@ def shared_seeds(rows: DataFrame) -> DataFrame:
         if held is not None and tied:
             yield held
 
-    return rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "word").mapInArrow(run, "seed long, doc_id long, word int")
+    return rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "word").mapInArrow(run, _SEED)
 
 
 def segment_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(seed, back, segment, doc_id, start): for each shared seed the words of all passages that hold it, as they
+    """(seed, back, segment, doc_id, start): for each shared seed the words of all passages that have it, as they
     stand in the text, from `back` words before it; start counts characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +116,12 @@ def segment_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
                 ws, we = runs(_INK[text])
                 chars = np.cumsum((text & 0xC0) != 0x80)
                 data = text.tobytes()
-                places = b.column(2)[i]
-                at, key = np.asarray(places.values.field(0)), np.asarray(places.values.field(1))
-                at = at.astype(np.int64)
-                ok = at + seed <= len(ws)  # rows that share a doc_id may have different texts
-                at, key = at[ok], key[ok]
-                back = np.minimum(at, words - seed)
-                s, e = ws[at - back], we[np.minimum(at + words, len(ws)) - 1]
+                places = b.column(2)[i].values
+                at, key, back, count = (np.asarray(places.field(k)).astype(np.int64) for k in range(4))
+                stop = at - back + count - 1 + words
+                ok = stop <= len(ws)  # rows that share a doc_id may have different texts
+                at, key, back, stop = at[ok], key[ok], back[ok], stop[ok]
+                s, e = ws[at - back], we[stop - 1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key),
@@ -141,15 +149,19 @@ class Suffixes:
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the longest common extension of each pair, at most `most`."""
-        p, low = self.prefix, np.zeros(len(x), np.int64)
+        p, out = self.prefix, np.full(len(x), self.most, np.int64)
         px, py, dx, dy = p[x], p[y], self.down[x], self.down[y]
-        step = 1 << (self.most.bit_length() - 1)
         with np.errstate(over="ignore"):
+            # most pairs agree throughout; only the others are searched
+            part = np.flatnonzero((p[x + self.most] - px) * dx != (p[y + self.most] - py) * dy)
+            x, y, px, py, dx, dy = (v[part] for v in (x, y, px, py, dx, dy))
+            low, step = np.zeros(len(part), np.int64), 1 << (self.most.bit_length() - 1)
             while step:
                 n = np.minimum(low + step, self.most)
                 low = np.where((p[x + n] - px) * dx == (p[y + n] - py) * dy, n, low)
                 step >>= 1
-        return low
+        out[part] = low
+        return out
 
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.extension(x, y)
@@ -192,18 +204,14 @@ class Suffixes:
         return suffix
 
 
-def repeated_windows(texts: list[str], bucket: np.ndarray, back: np.ndarray, words: int):
-    """For each segment (distinct within its bucket; buckets lie together) the spans of its words that are covered by
-    passages of `words` words that another segment of the bucket has at the same place around the seed.
-
-    Returns ([(segment, first word, end word)], words as (starts, ends) of each segment)."""
-    split = [t.split() for t in texts]
-    count = np.array([len(s) for s in split], np.int64)
+def repeated_windows(texts: list[str], bucket: np.ndarray, back: np.ndarray, words: int) -> list[tuple[int, int, int]]:
+    """(segment, start, end) in characters: the parts of segments that are covered by passages of `words` words which another
+    segment of the bucket has at the same distance from the seed. Segments are distinct within their bucket; buckets lie
+    together."""
+    raw, starts, ends = string_spans(pa.array(texts, pa.string()))
+    row, ws, we, symbols = words_of(raw, starts, ends, _INK, fold=False)
+    count = np.bincount(row, minlength=len(texts))
     first = np.cumsum(np.r_[0, count])
-    table: dict[str, int] = {}
-    symbols = np.fromiter((table.setdefault(w, len(table) + 1) for s in split for w in s), np.uint64, int(first[-1]))
-    # spread, so that polynomial hashes of small numbers don't coincide; words themselves are numbered exactly
-    spread = mix64(symbols)
     windows = np.maximum(count - words + 1, 0)
     seg = np.repeat(np.arange(len(texts)), windows)
     o = np.arange(len(seg)) - np.repeat(np.cumsum(np.r_[0, windows])[:-1], windows)
@@ -215,80 +223,69 @@ def repeated_windows(texts: list[str], bucket: np.ndarray, back: np.ndarray, wor
     many = np.repeat(size, size) > 1
     seg, o, group = seg[many], o[many], group[many]
     if not len(seg):
-        return [], split
-    s = Suffixes(spread, words)
+        return []
+    s = Suffixes(symbols, words)
     suffix = s.sort(first[seg] + o, group)
-    x, y = suffix[:-1], suffix[1:]
-    pair = np.flatnonzero((group[:-1] == group[1:]))
-    pair = pair[s.extension(x[pair], y[pair]) >= words]
-    # the hashes agree; now the words have to
-    for part in np.array_split(pair, 1 + len(pair) // 200_000):
-        same = np.ones(len(part), bool)
-        for k in range(words):
-            same &= symbols[x[part] + k] == symbols[y[part] + k]
-        if not same.all():
-            pair = np.setdiff1d(pair, part[~same])
+    pair = np.flatnonzero(group[:-1] == group[1:])
+    x, y = suffix[pair], suffix[pair + 1]
+    same = s.extension(x, y) >= words
+    x, y = x[same], y[same]
+    # the hashes agree; now the words have to: neighbouring passages of the same two segments at once
+    sx, sy = row[x], row[y]
+    order = np.lexsort((x, sy, sx))
+    x, y, sx, sy = x[order], y[order], sx[order], sy[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1]) | (x[1:] - x[:-1] > words) | (x[1:] - y[1:] != x[:-1] - y[:-1])
+    begin = np.flatnonzero(fresh)
+    data = raw.tobytes()
+    ok = np.ones(len(x), bool)
+    for a, b in zip(begin.tolist(), np.r_[begin[1:], len(x)].tolist()):
+        if not _agree(data, starts, ws, we, sx[a], sy[a], x[a], y[a], int(x[b - 1] - x[a]) + words):
+            for i in range(a, b):
+                ok[i] = _agree(data, starts, ws, we, sx[i], sy[i], x[i], y[i], words)
     hit = np.zeros(int(first[-1]) + 1, np.int64)
-    begin = np.unique(np.concatenate([x[pair], y[pair]]))
-    np.add.at(hit, begin, 1)
-    np.add.at(hit, begin + words, -1)
+    at = np.unique(np.concatenate([x[ok], y[ok]]))
+    np.add.at(hit, at, 1)
+    np.add.at(hit, at + words, -1)
     covered = np.cumsum(hit)[:-1] > 0
-    a, b = runs(covered)
-    out = []
-    for i, j in zip(a.tolist(), b.tolist()):
-        # runs of neighbouring segments may touch
-        while i < j:
-            k = int(np.searchsorted(first, i, "right")) - 1
-            stop = min(j, int(first[k + 1]))
-            out.append((k, i - int(first[k]), stop - int(first[k])))
-            i = stop
-    return out, split
-
-
-def _places(text: str, split: list[str], a: int, b: int) -> tuple[int, int]:
-    """Characters where words a to b of the segment start and end."""
-    at, s = 0, 0
-    for i, w in enumerate(split[:b]):
-        at = text.index(w, at)
-        if i == a:
-            s = at
-        at += len(w)
-    return s, at
+    # a part ends with its segment
+    edge = np.zeros(len(covered) + 1, bool)
+    edge[first] = True
+    a = np.flatnonzero(covered & (edge[:-1] | ~np.r_[False, covered[:-1]]))
+    b = np.flatnonzero(covered & (edge[1:] | ~np.r_[covered[1:], False]))
+    chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+    place = lambda r, byte: chars[starts[r] + byte] - chars[starts[r]]
+    return list(zip(row[a].tolist(), place(row[a], ws[a]).tolist(), place(row[b], we[b]).tolist()))
+
+
+def _agree(data: bytes, starts: np.ndarray, ws: np.ndarray, we: np.ndarray, sx: int, sy: int, x: int, y: int, n: int) -> bool:
+    """Whether n words from word x on are those from word y on, byte by byte; white space between them doesn't count."""
+    one, two = data[starts[sx] + ws[x] : starts[sx] + we[x + n - 1]], data[starts[sy] + ws[y] : starts[sy] + we[y + n - 1]]
+    return one == two or one.split() == two.split()
 
 
 def _spans(rows: list[tuple], words: int) -> tuple[list[int], list[int], list[int]]:
+    """Spans of the occurrences in whole buckets; rows: (seed, back, segment, [(doc, start)])."""
     doc, start, end = [], [], []
-    single: list[int] = []
-    seeds_of: dict[int, int] = {}
+    shared: dict[int, int] = {}
     for r in rows:
-        seeds_of[r[0]] = seeds_of.get(r[0], 0) + 1
-    part: dict[int, list[tuple[int, int]]] = {}
-    for i, (seed, _, text, where) in enumerate(rows):
-        if len(where) > 1:
-            # the whole segment stands elsewhere; it has a passage if it has the words
-            n = len(text.split())
-            if n >= words:
-                part[i] = [(0, len(text))]
-        if seeds_of[seed] > 1:
-            single.append(i)
-    if single:
-        names = {s: k for k, s in enumerate(dict.fromkeys(rows[i][0] for i in single))}
-        found, split = repeated_windows(
-            [rows[i][2] for i in single],
-            np.array([names[rows[i][0]] for i in single], np.int64),
-            np.array([rows[i][1] for i in single], np.int64),
-            words,
+        shared[r[0]] = shared.get(r[0], 0) + 1
+    part: list[tuple[int, int, int]] = []
+    for i, (_, _, text, where) in enumerate(rows):
+        if len(where) > 1:  # all of the segment stands elsewhere, and it holds a passage at least
+            part.append((i, 0, len(text)))
+    many = [i for i, r in enumerate(rows) if shared[r[0]] > 1]
+    if many:
+        names = {s: k for k, s in enumerate(dict.fromkeys(rows[i][0] for i in many))}
+        found = repeated_windows(
+            [rows[i][2] for i in many], np.array([names[rows[i][0]] for i in many], np.int64), np.array([rows[i][1] for i in many], np.int64), words
         )
-        for k, a, b in found:
-            i = single[k]
-            if len(rows[i][3]) == 1:
-                part.setdefault(i, []).append(_places(rows[i][2], split[k], a, b))
-    for i, spans in part.items():
-        for a, b in spans:
-            for d, s in rows[i][3]:
-                doc.append(d)
-                start.append(s + a)
-                end.append(s + b)
+        part += [(many[k], a, b) for k, a, b in found if len(rows[many[k]][3]) == 1]
+    for i, a, b in part:
+        for d, s in rows[i][3]:
+            doc.append(d)
+            start.append(s + a)
+            end.append(s + b)
     return doc, start, end
 
 
@@ -348,11 +345,11 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed: int = S
     included. Null doc_ids, null or empty texts and texts of fewer words have no span; rows that repeat a doc_id with its
     text count once. Only doc_id and text are read.
 
-    Suffixes of the whole corpus are brought together by seeds (see SEED_WORDS), about two in 32 words, of which only
-    those that stand in two places go on. What can be compared around a shared seed, 80 words, goes to the seed's bucket,
-    where equal segments collapse as they stream by in sorted order and the suffixes of the rest are sorted."""
+    Passages of the whole corpus are brought together by seeds (see SEED_WORDS), about two in 32 words, of which only
+    those that stand in two places go on. The words of the passages that have a shared seed, 65 on average, go to the seed's
+    bucket, where equal segments collapse as they stream by in sorted order and the suffixes of the rest are sorted."""
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), "text")
-    shared = shared_seeds(seed_rows(rows, words, seed)).groupBy("doc_id").agg(F.collect_set(F.struct("word", "seed")).alias("seeds"))
+    shared = shared_seeds(seed_rows(rows, words, seed)).groupBy("doc_id").agg(F.collect_set(F.struct("word", "seed", "back", "count")).alias("seeds"))
     held = rows.join(shared, "doc_id").select("doc_id", "text", "seeds")
     return merged_spans(passage_spans(segment_rows(held, words, seed), words))
