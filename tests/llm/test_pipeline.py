@@ -24,7 +24,7 @@ def brute(data, items, model_texts):
             lines.append((d, kept))
     texts = [t for _, t in lines]
     f, words = simhash.fingerprints(*textscan.string_spans(pa.array(texts)))
-    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if words[a] and words[b] and np.unpackbits(f[a] ^ f[b]).sum() <= 17]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if words[a] and words[b] and np.unpackbits(f[a] ^ f[b]).sum() <= simhash.MAX_DISTANCE]
     top = components(len(texts), near)
     first = defaultdict(lambda: 10**9)
     for i, t in enumerate(top):
