@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Depth of the tree: the number of tokens, then so many leading tokens.
 LEADING = 3
-#: Share of a line's tokens that must equal a template's, place by place.
+#: Share of a line's tokens after the leading ones that must equal a template's, place by place.
 SIMILARITY = 0.7
 #: Lines of fewer tokens are no templates: such short lines recur by chance.
 MIN_TOKENS = 4
@@ -45,10 +45,10 @@ class Leaf:
     leading tokens, which all lines of the leaf share."""
 
     def __init__(self, n: int, leading: int, similarity: float):
-        self.need = max(1, int(np.ceil(similarity * n - 1e-9)))
-        apart = n - self.need
         first = min(leading, n)
         rest = n - first
+        self.need = first + int(np.ceil(similarity * rest - 1e-9))
+        apart = n - self.need
         self.whole = rest <= apart  # no stretch can be promised: compare with every template
         k = apart + 1
         edge = [first + rest * i // k for i in range(k + 1)]

@@ -491,7 +491,7 @@ def drain(data, similarity=0.7, leading=3, least=4):
             ts = leaf[len(tokens), tokens[:leading]]
             same = [sum(a == b != "<*>" for a, b in zip(tokens, t[0])) for t in ts]
             best = max(range(len(ts)), key=lambda k: (same[k], -k), default=None)
-            if best is not None and same[best] >= math.ceil(similarity * len(tokens) - 1e-9):
+            if best is not None and same[best] >= min(leading, len(tokens)) + math.ceil(similarity * max(0, len(tokens) - leading) - 1e-9):
                 ts[best][0] = tuple(a if a == b else "<*>" for a, b in zip(tokens, ts[best][0]))
                 seen[tokens] = (d, ts[best][1] != d)
             else:
