@@ -7,6 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +22,65 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[np.ndarray]: ...
 
 
+_TOKEN = np.zeros(256, bool)
+_TOKEN[48:58] = _TOKEN[97:123] = True
+
+
+def _fold(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """FNV-1a of data[start:start+size] continued from h, a byte of all spans at a time."""
+    order = np.argsort(-size, kind="stable")
+    h, start, size = h[order].astype(np.uint32), start[order], size[order]
+    for p in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -p, side="left"))  # spans longer than p
+        h[:n] = (h[:n] ^ data[start[:n] + p]) * np.uint32(16777619)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def hashed_sums(texts: list[str | None], dimension: int, bigrams: bool = True) -> np.ndarray:
+    """(texts, dimension): the signed sums of the hashed features of each text, not normalised."""
+    parts = [(t or "").lower().encode() for t in texts]
+    data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
+    edge = np.diff(np.r_[False, _TOKEN[data], False].astype(np.int8))
+    start = np.flatnonzero(edge == 1)
+    size = np.flatnonzero(edge == -1) - start
+    row = np.searchsorted(np.cumsum([len(p) + 1 for p in parts]), start, side="right")
+    both = np.flatnonzero(row[1:] == row[:-1]) if bigrams else np.zeros(0, np.int64)
+    at, sign = [], []
+    with np.errstate(over="ignore"):
+        for salt in (0, hashing.SIGN_SALT):
+            one = _fold(np.full(len(start), 2166136261 ^ salt, np.uint32), data, start, size)
+            two = (one[both] ^ np.uint32(32)) * np.uint32(16777619)
+            h = np.concatenate([one, _fold(two, data, start[both + 1], size[both + 1])])
+            (sign if salt else at).append(1.0 - 2.0 * (h & np.uint32(1)) if salt else h % np.uint32(dimension))
+    cell = np.concatenate([row, row[both]]) * dimension + at[0].astype(np.int64)
+    return np.bincount(cell, sign[0], len(texts) * dimension).reshape(len(texts), dimension)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(n > 0, n, 1)
+
+
 def hashed_features(docs: DataFrame, id_col: str, text_col: str, dimension: int = 384, bigrams: bool = True) -> DataFrame:
-    """(id, idx, weight): the sparse hashed bag of features, normalised. Features are hashed once for each distinct one of a
-    row; sums that cancel to 0 are left out; a text without tokens has no row."""
-    f = docs.select(F.col(id_col), F.explode(hashing.features(F.coalesce(text_col, F.lit("")), bigrams)).alias("feature"))
-    cell = f.select(id_col, hashing.feature_index(F.col("feature"), dimension).alias("idx"), hashing.feature_sign(F.col("feature")).alias("s"))
-    summed = cell.groupBy(id_col, "idx").agg(F.sum("s").alias("s")).where("s <> 0")
-    norms = summed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("nf_norm"))
-    return summed.join(norms, id_col).select(id_col, "idx", (F.col("s") / F.col("nf_norm")).alias("weight"))
+    """(id, idx, weight): the sparse hashed bag of features of every row, normalised. Sums that cancel to 0 are left out; a
+    text without tokens has no row. Narrow: each row is hashed where it lies."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                x = _unit(hashed_sums(part.column(1).to_pylist(), dimension, bigrams))
+                i, j = np.nonzero(x)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(j.astype(np.int32)), pa.array(x[i, j])], [id_col, "idx", "weight"])
+
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} {kind}, idx int, weight double")
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, text_col: str, dimension: int = 384, bigrams: bool = True) -> DataFrame:
-    """docs with vector ARRAY<FLOAT>: the dense form, by the Arrow kernel of HashingEmbedder."""
+    """docs with vector ARRAY<FLOAT>: the dense form."""
     return docs.withColumn("vector", embed_column(HashingEmbedder(dimension, bigrams))(F.col(text_col)))
 
 
@@ -43,27 +91,9 @@ class HashingEmbedder:
         self.dimension, self.bigrams = dimension, bigrams
 
     def embed(self, texts: list[str]) -> list[np.ndarray]:
-        import re
-
-        split = re.compile("[^a-z0-9]+").split
-        kept: dict[str, tuple[int, float]] = {}
-        out = []
-        for text in texts:
-            tokens = [t for t in split((text or "").lower()) if t]
-            found = tokens + ([f"{a} {b}" for a, b in zip(tokens, tokens[1:])] if self.bigrams else [])
-            v = np.zeros(self.dimension)
-            for f in found:
-                at = kept.get(f)
-                if at is None:
-                    h = g = 2166136261
-                    g ^= hashing.SIGN_SALT
-                    for c in f.encode():
-                        h = ((h ^ c) * 16777619) & 0xFFFFFFFF
-                        g = ((g ^ c) * 16777619) & 0xFFFFFFFF
-                    at = kept[f] = (h % self.dimension, 1.0 if g & 1 == 0 else -1.0)
-                v[at[0]] += at[1]
-            n = np.linalg.norm(v)
-            out.append((v / n if n else v).astype(np.float32))
+        out: list[np.ndarray] = []
+        for a in range(0, len(texts), 512):
+            out += list(_unit(hashed_sums(texts[a : a + 512], self.dimension, self.bigrams)).astype(np.float32))
         return out
 
 

@@ -17,6 +17,8 @@ from nearfield.operators.sampling import evenly_spaced, hash_sample
 ITERATIONS = 8
 SAMPLE_SIZE = 50_000
 TUNE_QUERIES, TUNE_K = 32, 10
+#: Training of up to so many multiplications a round runs on the driver; beyond it each round is a job.
+LOCAL_WORK = 20_000_000_000
 
 
 def choose_nlist(rows: int, nlist: int | None = None) -> int:
@@ -83,28 +85,40 @@ def train_centroids(sample: DataFrame, nlist: int, id_col: str = "id", vector_co
     and normalised means; an empty cluster is seeded anew. sample must be bounded (hash_sample): its rows in the order of their
     hash are what the seeds pick from, so the result is the same at any partitioning up to rounding."""
     sample = sample.select(id_col, vector_col).persist()
-    order = Window.orderBy(F.xxhash64(F.lit(1), F.col(id_col)), F.col(id_col))
-    at = sample.withColumn("nf_at", F.row_number().over(order) - 1)
-    n = sample.count()
+    n, d = sample.agg(F.count("*"), F.max(F.size(vector_col))).first()
     if n == 0:
         raise ValueError("no rows to train on")
-
-    def rows(which: list[int]) -> np.ndarray:
-        found = {r[0]: r[1] for r in at.where(F.col("nf_at").isin(sorted(set(which)))).select("nf_at", vector_col).collect()}
-        return np.array([found[i] for i in which], np.float64)
+    by_hash = [F.xxhash64(F.lit(1), F.col(id_col)), F.col(id_col)]
+    if n * nlist * d <= LOCAL_WORK:
+        x = matrix(sample.orderBy(*by_hash).select(vector_col).toArrow().column(0))
+        rows = lambda which: x[which]
+
+        def step(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = nearest_centroid(x, centroids)
+            sums = np.zeros_like(centroids)
+            np.add.at(sums, at, x)
+            return sums, np.bincount(at, minlength=nlist)
+    else:
+        placed = sample.withColumn("nf_at", F.row_number().over(Window.orderBy(*by_hash)) - 1)
+
+        def rows(which: list[int]) -> np.ndarray:
+            found = {r[0]: r[1] for r in placed.where(F.col("nf_at").isin(sorted(set(which)))).select("nf_at", vector_col).collect()}
+            return np.array([found[i] for i in which], np.float64)
+
+        def step(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sums, count = np.zeros_like(centroids), np.zeros(nlist, np.int64)
+            for r in lloyd_sums(sample, centroids, vector_col).collect():  # nlist rows
+                sums[r["cluster"]], count[r["cluster"]] = r["total"], r["n"]
+            return sums, count
 
     draw = mulberry32(seed)
     centroids = unit_rows(rows([int(draw() * n) for _ in range(nlist)]))
     for i in range(iterations):
-        sums = lloyd_sums(sample, centroids, vector_col).collect()  # nlist rows
-        fresh = np.zeros_like(centroids)
-        full = np.zeros(nlist, bool)
-        for r in sums:
-            fresh[r["cluster"]] = np.array(r["total"]) / r["n"]
-            full[r["cluster"]] = True
-        if not full.all():
+        sums, count = step(centroids)
+        fresh = sums / np.maximum(count, 1)[:, None]
+        if not count.all():
             draw = mulberry32(seed + i + 1)
-            fresh[~full] = rows([int(draw() * n) for _ in range(int((~full).sum()))])
+            fresh[count == 0] = rows([int(draw() * n) for _ in range(int((count == 0).sum()))])
         centroids = unit_rows(fresh)
     sample.unpersist()
     return centroids

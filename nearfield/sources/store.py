@@ -184,10 +184,10 @@ class VectorStore:
                 twice = staged.groupBy("id").count().where("count > 1").select("id").first()
                 if twice:
                     raise ValueError(f"id {twice[0]!r} is twice in the batch")
-            replaced = self.live().select("id", "row").join(staged.select("id"), "id", "left_semi").select("row")
             tombstones = list(self._state["tombstones"])
             n_replaced = 0
-            if upsert:
+            if upsert and self.count:
+                replaced = self.live().select("id", "row").join(staged.select("id"), "id", "left_semi").select("row")
                 name = f"tombstones/{uuid.uuid4().hex}"
                 replaced.write.parquet(f"{self.root}/{name}")
                 n_replaced = self.spark.read.parquet(f"{self.root}/{name}").count()

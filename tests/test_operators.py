@@ -295,6 +295,9 @@ def test_lloyd_step_and_training(spark):
     a = ivf.train_centroids(frame(spark, x, 2), 12, seed=5)
     b = ivf.train_centroids(frame(spark, x, 7), 12, seed=5)
     assert np.allclose(a, b, atol=1e-9) and np.allclose(np.linalg.norm(a, axis=1), 1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ivf, "LOCAL_WORK", 0)
+        assert np.allclose(a, ivf.train_centroids(frame(spark, x, 4), 12, seed=5), atol=1e-9)
     twin = ivf.train_centroids(frame(spark, np.ones((5, 3))), 4, seed=1)
     assert twin.shape == (4, 3) and np.isfinite(twin).all()
 
