@@ -285,21 +285,25 @@ def session_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rotation and codes -----------------------------------------------------------------------------------------------
 
 
-def _rotation_sql() -> str:
+def _rotation_sql(coordinate: str = "round(sum(x * m), 9)") -> str:
     """rot(i, j, m): the rotation matrix from its signs, two rounds of H."""
     r = quant.Rotator(DIMENSION)
     a, b = ("[" + ", ".join(str(int(s)) for s in x) + "]" for x in r.signs)
     return f"""h AS (SELECT i, j, 1 - 2 * (bit_count((i & j)::BIGINT) % 2) AS h FROM range(0, 64) a(i), range(0, 64) b(j)),
 rot AS (SELECT x.i, y.j, sum(({a})[x.i + 1] * x.h * ({b})[x.j + 1] * y.h)::DOUBLE / 64 AS m FROM h x JOIN h y ON x.j = y.i GROUP BY ALL),
 flat AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
-turned AS (SELECT vec_id, j AS i, round(sum(x * m), 9) AS x FROM flat JOIN rot USING (i) GROUP BY vec_id, j)"""
+turned AS (SELECT vec_id, j AS i, {coordinate} AS x FROM flat JOIN rot USING (i) GROUP BY vec_id, j)"""
 
 
-@query(f"WITH {_rotation_sql()} SELECT vec_id, i::INT AS i, round(x, 6) + 0.0 AS x FROM turned")
+@query(f"WITH {_rotation_sql('sum(x * m)')} SELECT vec_id, i::INT AS i, round(x, 6) + 0.0 AS x FROM turned")
 def rotate_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
     long = quantized._rotated(df, quant.Rotator(DIMENSION)).select(F.col("q_id").alias("vec_id"), F.posexplode("q").alias("i", "x"))
-    return long.withColumn("x", F.round(F.round("x", 9), 6) + F.lit(0.0))
+    return rounded(long, "x")
+
+
+#: The largest magnitude of coordinates with 9 decimals has 9 itself: rounded to fewer it could be a tie.
+_SCALE_DECIMALS = {8: 9, 4: 9, 1: 6}
 
 
 def _codes_sql(bits: int) -> str:
@@ -309,7 +313,7 @@ def _codes_sql(bits: int) -> str:
         n = quant.LEVELS[bits]
         scale = "max(abs(x)) OVER (PARTITION BY vec_id)"
         code = f"greatest(-{n}, least({n}, floor(x / scale * {n} + 0.5)))"
-    return f"WITH {_rotation_sql()}, c AS (SELECT *, {scale} AS scale FROM turned) SELECT vec_id, i::INT AS i, ({code})::INT AS code, round(scale, 6) AS scale FROM c"
+    return f"WITH {_rotation_sql()}, c AS (SELECT *, {scale} AS scale FROM turned) SELECT vec_id, i::INT AS i, ({code})::INT AS code, round(scale, {_SCALE_DECIMALS[bits]}) AS scale FROM c"
 
 
 def _codes(bits: int):
@@ -330,7 +334,7 @@ def _spelled(codes: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(c), pa.list_(pa.int32())), b.column(2)], ["vec_id", "codes", "scale"])
 
     rows = codes.mapInArrow(run, "vec_id long, codes array<int>, scale double")
-    return rows.select("vec_id", F.posexplode("codes").alias("i", "code"), F.round("scale", 6).alias("scale"))
+    return rows.select("vec_id", F.posexplode("codes").alias("i", "code"), F.round("scale", _SCALE_DECIMALS[bits]).alias("scale"))
 
 
 def _quant_knn(bits: int):
@@ -346,7 +350,7 @@ def _quant_knn(bits: int):
 def _quant_knn_sql(bits: int) -> str:
     """Candidates by the codes at k times the factor, then exactly."""
     value = "(2 * code - 1) * scale" if bits == 1 else f"code * scale / {quant.LEVELS[bits]}"
-    inner = _codes_sql(bits).replace("round(scale, 6) AS scale", "scale")
+    inner = _codes_sql(bits).replace(f"round(scale, {_SCALE_DECIMALS[bits]}) AS scale", "scale")
     w = inner[5:]  # without WITH
     ctes, last = w.rsplit(" SELECT vec_id", 1)
     return f"""WITH {ctes}, k AS (SELECT vec_id{last}),
