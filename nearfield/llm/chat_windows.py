@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfield.llm.token_counts import RANKS_PATH, SPLIT, count_merges, piece_counts, read_ranks
+
 BUDGET = 512
 HISTORY = 128
 #: Tokens that a turn's markers take.
@@ -19,10 +23,14 @@ SCHEMA = f"conv_id long, window int, first_turn long, last_turn long, n_tokens l
 
 
 def word_count(text: Column) -> Column:
-    """Tokens by white space; any other count of the text can be given instead."""
+    """Tokens by white space, for tests; any other count of the text can be given instead."""
     return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def formatted_turn(role: str, text: str) -> str:
+    return f"<|{role}|>\n{text}\n<|end|>\n"
+
+
 def windows_of(tokens: list[int], fixed: int, budget: int, history: int) -> list[tuple[int, int, int]]:
     """(start, fresh, end) turn spans that cover all turns once as fresh ones: turns start to fresh repeat history.
 
@@ -56,14 +64,45 @@ def chat_windows(
     empty, a null role as 'unknown'; rows without a conv_id are left out; rows that repeat are turns of their own. A
     conversation with nothing but a system turn has one window with no span: its turn numbers are null. Only conv_id, turn,
     role and text are read; they meet in one shuffle by conversation."""
+    rows = turn_rows(conversations).withColumn("tokens", (count(F.col("text")) + F.lit(overhead)).cast("long"))
+    return windows(rows, budget, history)
+
+
+def bpe_chat_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, ranks_path: str = RANKS_PATH) -> DataFrame:
+    """chat_windows with the tokens of byte-pair encoding: a turn counts as its formatted text with the markers, which the
+    vocabulary encodes as any other text. A turn ends with a line break before the next one's "<", where every split is, so
+    n_tokens is exactly the number of tokens of `formatted`. The turns are counted in a narrow pass before the shuffle."""
+    return windows(with_bpe_tokens(turn_rows(conversations), ranks_path), budget, history)
+
+
+def turn_rows(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of the rows with a conv_id, without nulls in role and text."""
     c = conversations
-    rows = c.where(F.col("conv_id").isNotNull()).select(
+    return c.where(F.col("conv_id").isNotNull()).select(
         c["conv_id"].cast("long").alias("conv_id"),
         c["turn"].cast("long").alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("tokens", (count(F.col("text")) + F.lit(overhead)).cast("long"))
+
+
+def with_bpe_tokens(rows: DataFrame, ranks_path: str = RANKS_PATH) -> DataFrame:
+    """turn_rows with the column tokens."""
+    ranks = rows.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, split = piece_counts(key, ranks), regex.compile(SPLIT).findall
+        for b in batches:
+            turns = (formatted_turn(r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+            n = [len(t.encode("utf-8", "surrogatepass")) - count_merges(t, counts, split) for t in turns]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["conv_id", "turn", "role", "text", "tokens"])
+
+    return rows.mapInArrow(run, "conv_id long, turn long, role string, text string, tokens long")
+
+
+def windows(rows: DataFrame, budget: int, history: int) -> DataFrame:
+    """The windows of turn_rows with their tokens, as in chat_windows."""
     each = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +122,7 @@ def chat_windows(
                         for i, t in enumerate(others[start:end], start)
                     ]
                     n = fixed + sum(tokens[start:end])
-                    text = "".join(f"<|{t['role']}|>\n{t['text']}\n<|end|>\n" for t in body)
+                    text = "".join(formatted_turn(t["role"], t["text"]) for t in body)
                     span = others[start:end]
                     out.append((conv, k, span[0]["turn"] if span else None, span[-1]["turn"] if span else None, n, n > budget, body, text))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), turn_type, pa.string()]

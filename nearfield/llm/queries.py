@@ -49,7 +49,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_windows.chat_windows(table(spark, sf_dir, "conversations"))
+    return chat_windows.bpe_chat_windows(table(spark, sf_dir, "conversations"))
 
 
 def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:

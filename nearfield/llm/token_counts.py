@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Vocabulary as lines of "base64 rank"; read on the driver, sent to the workers (its size is that of the file).
@@ -80,6 +81,14 @@ class PieceCounts(dict):
         return m
 
 
+def piece_counts(key: str, ranks: Broadcast) -> PieceCounts:
+    """The worker's table of the pass named key."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = PieceCounts(ranks.value)
+    return _state[key]
+
+
 def count_merges(text: str, counts: PieceCounts, split) -> int:
     return sum(map(counts.__getitem__, split(text)))
 
@@ -95,10 +104,7 @@ def token_counts(docs: DataFrame, ranks_path: str = RANKS_PATH) -> DataFrame:
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _state:
-            _state.clear()
-            _state[key] = PieceCounts(ranks.value)
-        counts, split = _state[key], regex.compile(SPLIT).findall
+        counts, split = piece_counts(key, ranks), regex.compile(SPLIT).findall
         for b in batches:
             symbols, merges, tokens = [], [], []
             for text in b.column(1):

@@ -20,6 +20,7 @@ from nearfield.llm import (
     fingerprints,
     language_id,
     line_templates,
+    queries,
     secret_scan,
     simhash,
     suffix_dedup,
@@ -436,6 +437,20 @@ def test_chat_windows(spark):
     assert chat_windows.chat_windows(frame(spark, [], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_registered_windows_are_bounded_in_tokens(spark, tmp_path):
+    r = random.Random(31)
+    turns = [(1, i, ("user", "assistant")[i % 2], " ".join("".join(r.choices("bcdfghjkz", k=12)) for _ in range(40)) + "\n" * (i % 3)) for i in range(8)]
+    turns += [(2, 0, "system", "漢字" * 30), (2, 1, "user", "漢字" * 400), (2, 2, None, None), (2, 3, "assistant", " \n<b>it's</b>"), (3, 0, "user", "x1" * 900)]
+    frame(spark, turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op7_chat_formatting(spark, str(tmp_path)).collect()
+    enc = coding()
+    assert all(w.n_tokens == len(enc.encode_ordinary(w.formatted)) and w.oversize == (w.n_tokens > 512) for w in got)
+    fresh = Counter((w.conv_id, w.window) for w in got)
+    assert set(fresh.values()) == {1} and sum(w.conv_id == 1 for w in got) > 1
+    assert {w.conv_id for w in got if w.oversize} == {2, 3}
+    assert all(sum(t.role != "system" for t in w.turns) == 1 for w in got if w.oversize)
+
+
 # --- 8 encoding
 
 
