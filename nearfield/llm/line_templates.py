@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 LEADING = 3
 #: Share of a line's tokens after the leading ones that must equal a template's, place by place.
 SIMILARITY = 0.7
-#: Lines of fewer tokens are no templates: such short lines recur by chance.
+#: Lines of fewer tokens are no templates: such short lines recur by chance, so they go by the exact line only.
 MIN_TOKENS = 4
+#: Documents that must have a short line before it counts as recurring; more if it is one token, as words recur by chance.
+SHORT_DOCS = 20
+WORD_DOCS = 64
 WILD = "<*>"
 _DIGIT = re.compile(r"\d").search
 #: Lines are first compared within batches of about so many characters.
@@ -36,6 +39,10 @@ def leaf_key(tokens: list[str], leading: int = LEADING) -> int:
     return xxhash.xxh3_64_intdigest(f"{len(tokens)} {' '.join(tokens[:leading])}") - (1 << 63)
 
 
+def enough_docs(n_tokens: int) -> int:
+    return WORD_DOCS if n_tokens == 1 else SHORT_DOCS
+
+
 class Leaf:
     """Templates of one leaf. A line joins the template with the most equal tokens (ties: the older), if these are
     enough, and turns the template's other tokens into wild ones; else it founds a template.
@@ -81,21 +88,32 @@ class Leaf:
 
 
 def line_rows(docs: DataFrame, leading: int, least: int) -> DataFrame:
-    """(leaf, doc_id, line, tokens): one row for every line of enough tokens.
+    """(leaf, doc_id, line, tokens): one row for every line that is not blank; a line of fewer than `least` tokens has its own
+    tokens, others masked ones.
 
     Within a batch a masked line goes on from its smallest document only; in larger ones it is certain to be dropped,
-    so those rows have no tokens and any leaf. A line that every document has thus meets in its leaf once
-    a batch, not once a document."""
+    so those rows have no tokens and any leaf. A short line goes on from its smallest documents, as many as are enough to
+    count as recurring; in larger ones it is certain too. A line that every document has thus meets in its leaf once (if
+    short, at most `enough_docs` times) a batch, not once a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first: dict[str, tuple[int, list[int]]] = {}
+            short: dict[str, dict[int, list[int]]] = {}
             certain: list[tuple[int, int]] = []
             held = 0
 
             def flush() -> pa.RecordBatch:
                 leaf, doc, line, text = [], [], [], []
-                for key, (d, lines) in first.items():
+                placed = [(key, d, lines) for key, (d, lines) in first.items()]
+                for key, held_by in short.items():
+                    enough = enough_docs(key.count(" ") + 1)
+                    for n, d in enumerate(sorted(held_by)):
+                        if n < enough:
+                            placed.append((key, d, held_by[d]))
+                        else:
+                            certain.extend((d, i) for i in held_by[d])
+                for key, d, lines in placed:
                     k = leaf_key(key.split(" "), leading)
                     for i in lines:
                         leaf.append(k)
@@ -108,6 +126,7 @@ def line_rows(docs: DataFrame, leading: int, least: int) -> DataFrame:
                     line.append(i)
                     text.append(None)
                 first.clear()
+                short.clear()
                 certain.clear()
                 return pa.RecordBatch.from_arrays(
                     [pa.array(leaf, pa.int64()), pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(text, pa.string())],
@@ -118,7 +137,10 @@ def line_rows(docs: DataFrame, leading: int, least: int) -> DataFrame:
                 text = text.as_py()
                 for i, line in enumerate(text.split("\n")):
                     tokens = masked_tokens(line)
+                    if not tokens:
+                        continue
                     if len(tokens) < least:
+                        short.setdefault(" ".join(line.split()), {}).setdefault(d, []).append(i)
                         continue
                     key = " ".join(tokens)
                     had = first.get(key)
@@ -135,7 +157,7 @@ def line_rows(docs: DataFrame, leading: int, least: int) -> DataFrame:
                 if held > _COMBINE:
                     yield flush()
                     held = 0
-            if first or certain:
+            if first or short or certain:
                 yield flush()
 
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
@@ -148,11 +170,13 @@ def recurring_lines(docs: DataFrame, similarity: float = SIMILARITY, leading: in
     """(doc_id, line): lines, counted from 0, to be dropped.
 
     A line goes if a smaller document has the same masked line, or if it falls under a template that a smaller
-    document founded. Lines enter their leaf in the order of (doc_id, line), so the result doesn't depend on how
-    the corpus is split. Leaves are streamed in sorted order: only the templates of one leaf are in memory."""
+    document founded. A line of fewer than `least` tokens goes if a smaller document has the very same tokens and
+    enough_docs documents of the whole corpus have them. Lines enter their leaf in the order of (doc_id, line), so the
+    result doesn't depend on how the corpus is split. Leaves are streamed in sorted order: only the templates of one leaf,
+    and the lines of its short ones that are not yet in enough documents, are in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, tree, seen = None, None, {}
+        here, tree, seen, waiting = None, None, {}, {}
         for b in batches:
             doc, line = [], []
             for k, d, i, key in zip(*(b.column(j).to_pylist() for j in range(4))):
@@ -161,7 +185,21 @@ def recurring_lines(docs: DataFrame, similarity: float = SIMILARITY, leading: in
                     line.append(i)
                     continue
                 if k != here:
-                    here, tree, seen = k, None, {}
+                    here, tree, seen, waiting = k, None, {}, {}
+                n = key.count(" ") + 1
+                if n < least:
+                    by_doc = waiting.setdefault(key, {})
+                    if by_doc is None:  # in enough documents already, the smallest of which is kept
+                        doc.append(d)
+                        line.append(i)
+                        continue
+                    by_doc.setdefault(d, []).append(i)
+                    if len(by_doc) == enough_docs(n):
+                        for other in sorted(by_doc)[1:]:
+                            doc.extend([other] * len(by_doc[other]))
+                            line.extend(by_doc[other])
+                        waiting[key] = None
+                    continue
                 had = seen.get(key)
                 if had is None:
                     tokens = key.split(" ")
@@ -187,7 +225,8 @@ def dedup_lines(
     """docs with its columns, text without its recurring lines (n_chars, where there is one, counts again), and
     nf_lines, nf_dropped: how many lines the text had and how many of them went.
 
-    Of a template's documents the smallest keeps its lines. Lines of under `least` tokens stay, blank ones too. A document of
+    Of a template's documents the smallest keeps its lines. Lines of under `least` tokens go only if enough documents
+    have the same one (enough_docs; again the smallest keeps it), blank ones stay. A document of
     which nothing but white space is left goes, unless keep_emptied. Null and empty texts and rows with a null
     doc_id stay as they are (nf_lines is null for a null text). Rows that share a doc_id are one document: the same line
     numbers go from each. Extra columns are carried along."""

@@ -542,6 +542,34 @@ def test_line_dedup(spark, odd_docs):
     assert line_templates.dedup_lines(no_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("combine", [line_templates._COMBINE, 300])
+def test_short_lines_go_once_enough_documents_have_them(spark, monkeypatch, combine):
+    monkeypatch.setattr(line_templates, "_COMBINE", combine)
+    many, word, few = line_templates.SHORT_DOCS, line_templates.WORD_DOCS, line_templates.SHORT_DOCS - 1
+    data = defaultdict(list)
+    for line, n, step in (("All rights reserved.", 3 * many, 1), ("Just  enough.", many, 2), ("By chance.", few, 3), ("Les.", word, 1), ("The.", word - 1, 1), ("page 7", many, 4)):
+        for i in range(n):
+            data[i * step + 5] += ["some words of the document " + str(i * step), line]
+    for i in range(40):
+        data[300 + i] += [f"page {i}", "", "twice here"]  # many documents, but each line is another; blank lines stay
+    data[5] += ["By chance."] * 30
+    data[300] += ["twice here"] * 3
+    data[339] += ["twice here"]
+    texts = [(d, "\n".join(x)) for d, x in data.items()] + [(400, "  Just enough. "), (None, "Les."), (401, None)]
+    docs = frame(spark, [doc(*t) for t in texts]).repartition(3)
+    lines = [(d, i, tuple(x.split())) for d, t in texts if d is not None and t for i, x in enumerate(t.split("\n"))]
+    held = defaultdict(set)
+    for d, _, x in lines:
+        held[x].add(d)
+    gone = {(d, i) for d, i, x in lines if 0 < len(x) < 4 and len(held[x]) >= (word if len(x) == 1 else many) and d != min(held[x])}
+    got = set(rows(line_templates.recurring_lines(docs))) - drain(texts)
+    assert got == gone and len(gone) > 3 * many + word
+    left = {d: x.text.split("\n") for x in line_templates.dedup_lines(docs, keep_emptied=True).where("doc_id is not null and text is not null").collect() for d in [x.doc_id]}
+    assert "All rights reserved." in left[5] and not any("All rights reserved." in x for d, x in left.items() if d != 5)
+    assert sum("By chance." in x for x in left.values()) == few and sum("The." in x for x in left.values()) == word - 1
+    assert sum("Les." in x for x in left.values()) == 1 and all("" in left[300 + i] for i in range(40))
+
+
 # --- 10 language ID
 
 
