@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.textscan import materialize
@@ -134,6 +135,19 @@ def texts_of_shared(docs: DataFrame, shared: DataFrame, lead_chars: int, most: i
     return texts.mapInArrow(run, "lead_doc long, doc_id long, text string")
 
 
+def bucket_texts(docs: DataFrame, lead_chars: int, most_sent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hashes of all rows, the buckets, and the texts of the buckets of more than one document, each written out."""
+    narrow = materialize(fingerprint_rows(docs, lead_chars).withColumn("lead_n", F.least("n", F.lit(lead_chars))), "fingerprints")
+    lead = (
+        narrow.where("doc_id is not null and n is not null")
+        .groupBy("lead_a", "lead_b", "lead_n")
+        .agg(F.min("doc_id").alias("lead_doc"), F.count("*").alias("members"))
+    )
+    lead = materialize(lead, "fingerprint-leads")
+    held = materialize(texts_of_shared(docs, lead.where("members > 1"), lead_chars, most_sent), "fingerprint-texts")
+    return narrow, lead, held
+
+
 def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS, most_sent: int = MAX_SENT_LEADS) -> DataFrame:
     """(doc_id, n_chars, fp_a, fp_b, lead_doc, common) for every row of docs.
 
@@ -147,14 +161,7 @@ def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS, most_se
 
     The hashes are a narrow pass; buckets of more than one document are found from narrow rows; of such buckets alone
     the texts are shuffled, to the bucket's first text, in a join whose large partitions can be split."""
-    narrow = materialize(fingerprint_rows(docs, lead_chars).withColumn("lead_n", F.least("n", F.lit(lead_chars))), "fingerprints")
-    lead = (
-        narrow.where("doc_id is not null and n is not null")
-        .groupBy("lead_a", "lead_b", "lead_n")
-        .agg(F.min("doc_id").alias("lead_doc"), F.count("*").alias("members"))
-    )
-    lead = materialize(lead, "fingerprint-leads")
-    held = materialize(texts_of_shared(docs, lead.where("members > 1"), lead_chars, most_sent), "fingerprint-texts")
+    narrow, lead, held = bucket_texts(docs, lead_chars, most_sent)
     firsts = held.where("doc_id = lead_doc").groupBy("lead_doc").agg(F.min("text").alias("first_text"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +195,62 @@ def document_fingerprints(docs: DataFrame, lead_chars: int = LEAD_CHARS, most_se
     )
 
 
+def longest_extensions(docs: DataFrame, lead_chars: int = LEAD_CHARS, most_sent: int = MAX_SENT_LEADS) -> DataFrame:
+    """(doc_id, n_chars, lead_doc, longest) for every member of a bucket of several documents (see document_fingerprints).
+
+    longest is how many characters the text shares from the start on with that other member of the bucket with which it
+    shares most. In the order of the texts this is one of the two neighbours, so each is compared with these alone.
+    Rows that repeat wholly are one member; rows of one doc_id with different texts are members of their own. Documents
+    whose first lead_chars characters differ, if only by an edit there, are never compared.
+
+    The texts are sorted by range, so a large bucket is split over tasks; the first and last text of every task then
+    meet their neighbours of other tasks."""
+    held = bucket_texts(docs, lead_chars, most_sent)[2].distinct()
+    by = ["lead_doc", "text", "doc_id"]
+    names = ["lead_doc", "doc_id", "n_chars", "longest", "nf_task", "nf_text"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, last, hashed, count = TaskContext.get().partitionId(), None, None, 0  # last: the row before, not yet sent
+        for b in batches:
+            out = []
+            for lead, d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                text = text.as_py()
+                h, shared = PrefixHash(text), 0
+                if last is not None:
+                    if last[0] == lead:
+                        shared = hashed.extension(0, h, 0)
+                        last[3] = max(last[3], shared)
+                    if count > 1:
+                        last[5] = None
+                    out.append(last)
+                last, hashed, count = [lead, d, h.n, shared, task, text], h, count + 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(last, kinds)], names)
+
+    def at_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, own, out = b.column(3), b.column(2).to_pylist(), []
+            for i, most in enumerate(own):
+                h = PrefixHash(text[i].as_py())
+                others = [c[i].as_py() for c in (b.column(4), b.column(5))]
+                out.append(max([most, *(h.extension(0, PrefixHash(o), 0) for o in others if o is not None)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(6), pa.array(out, pa.int64())], ["doc_id", "n_chars", "lead_doc", "longest"])
+
+    # ranges by a short stretch after the lead: it keeps the order of the texts, and the driver samples no whole texts
+    beyond = F.substring("text", lead_chars + 1, lead_chars)
+    placed = held.select("lead_doc", "doc_id", "text").repartitionByRange("lead_doc", beyond).sortWithinPartitions(*by)
+    found = materialize(placed.mapInArrow(neighbours, "lead_doc long, doc_id long, n_chars long, longest long, nf_task int, nf_text string"), "fingerprint-neighbours")
+    w = Window.orderBy("nf_task", "lead_doc", "nf_text", "doc_id")  # two rows a task
+    same = lambda step: F.when(step("lead_doc").over(w) == F.col("lead_doc"), step("nf_text").over(w))
+    edges = found.where("nf_text is not null").withColumns({"before": same(F.lag), "after": same(F.lead)})
+    edges = edges.select("doc_id", "n_chars", "longest", "nf_text", "before", "after", "lead_doc")
+    return found.where("nf_text is null").select("doc_id", "n_chars", "lead_doc", "longest").unionByName(
+        edges.mapInArrow(at_edges, "doc_id long, n_chars long, lead_doc long, longest long")
+    )
+
+
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, text, string_split(text, '') AS c,

@@ -194,6 +194,33 @@ def test_document_fingerprints(spark, odd_docs, sent):
     assert fingerprints.document_fingerprints(no_docs(spark), most_sent=sent).count() == 0
 
 
+@pytest.mark.parametrize("tasks", ["1", "7"])
+def test_longest_extensions_are_over_all_members(spark, tasks):
+    r = random.Random(17)
+    lead = "all pages of this site open with the same sixty-four characters, " * 2
+    bodies = [prose(r, 60) for _ in range(6)]
+    data = [(i, lead + (b := bodies[i % 6])[: r.randint(0, len(b))] + r.choice(("", "é", "🙂 end"))) for i in range(50)]
+    data += [(60, lead + bodies[2]), (61, lead + bodies[2]), (62, "alone"), (63, "short"), (64, "short"), (64, "short"), (65, None), (None, lead)]
+    members = defaultdict(set)
+    for d, t in data:
+        if d is not None and t is not None:
+            members[t[:64]].add((d, t))
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    want = [(d, len(t), min(m)[0], max(shared(t, o[1]) for o in m if o != (d, t))) for m in members.values() if len(m) > 1 for d, t in m]
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = frame(spark, [doc(*d) for d in data])
+        assert rows(fingerprints.longest_extensions(docs)) == sorted(want, key=repr)
+        first = {x.doc_id: x.common for x in fingerprints.document_fingerprints(docs).collect()}
+        assert any(first[d] < longest for d, _, lead_doc, longest in want if d != lead_doc)
+        assert fingerprints.longest_extensions(no_docs(spark)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+
+
 # --- 4 decontamination
 
 
