@@ -491,14 +491,18 @@ def ivf_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.lit(len(centroids)).alias("nlist"), F.lit(nprobe).alias("nprobe"), F.lit(estimate).alias("estimate"), "recall")
 
 
+TARGET_RECALL = 0.9
+
+
 @query()
 def ivf_int8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted lists over 8-bit codes, re-ranked."""
+    """Inverted lists over 8-bit codes, re-ranked; nprobe is the least whose recall over all rows is the target."""
     df, r = corpus(spark, sf_dir), quant.Rotator(DIMENSION)
     base = quantized.decode(quantized.encode(df, r, 8, "vec_id", "embedding"), r, 8, "vec_id").withColumnRenamed("rotated", "embedding")
     centroids = ivf.train_centroids(ivf.hash_sample(base, ivf.SAMPLE_SIZE, "vec_id"), NLIST, "vec_id", "embedding")
     lists = ivf.write_lists(ivf.assign(base, centroids, "embedding"), session.scratch(spark, "lists"))
-    found = ivf.search(quantized._rotated(every_row(df), r), lists, centroids, K * quant.RERANK_FACTOR[8], 8, "vec_id", "embedding")
+    nprobe, _ = ivf.choose_nprobe(ivf.recall_curve(every_row(lists), lists, centroids, K, "vec_id", "embedding"), TARGET_RECALL)
+    found = ivf.search(quantized._rotated(every_row(df), r), lists, centroids, K * quant.RERANK_FACTOR[8], nprobe, "vec_id", "embedding")
     return rounded(quantized.rerank(every_row(df), found, df, K, "dot", "vec_id", "embedding"), "score")
 
 

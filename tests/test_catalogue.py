@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from nearfield.operators import knn
 from nearfield.plans import catalogue
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,3 +37,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_int8_lists_reach_the_target_recall(spark):
+    at = "/root/testdata/sf0.01"
+    df = catalogue.corpus(spark, at)
+    truth = knn.knn_join(catalogue.every_row(df), df, catalogue.K, "dot", "vec_id", "embedding")
+    found = catalogue.QUERIES["ivf_int8_knn"](spark, at)
+    assert knn.recall(truth, found, catalogue.K, "vec_id").first()["recall"] >= catalogue.TARGET_RECALL
