@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
@@ -18,6 +19,9 @@ MIN_CHUNK = 128
 MAX_CHUNK = 1 << 14
 #: Bytes of chunk text whose encodings a worker keeps; beyond it the table starts anew (costs time, changes nothing).
 KEPT_BYTES = 16 << 20
+#: The encoder's splitter looks back over a run of blanks and gives up at about a million; runs from this length on are
+#: split off, where it would split them, before it sees them.
+LONG_BLANKS = 1 << 16
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _codecs: dict[str, ChunkCodec] = {}
 
@@ -59,6 +63,23 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
     _SOLID[_a:_b] = True
 
 
+def encode_text(coding: tiktoken.Encoding, text: str, long_blanks: int = LONG_BLANKS) -> list[int]:
+    """coding.encode_ordinary(text) for texts with blank runs of any length.
+
+    A run that ends the text is one piece. Of any other all but the last blank are one: the last goes with what follows
+    it, as the splitter leaves it."""
+    if len(text) < long_blanks:
+        return coding.encode_ordinary(text)
+    out: list[int] = []
+    done = 0
+    for m in regex.finditer(rf"\s{{{long_blanks},}}+", text):
+        stop = m.end() - (m.end() < len(text))
+        out += coding.encode_ordinary(text[done : m.start()])
+        out += coding._encode_single_piece(text[m.start() : stop].encode())
+        done = stop
+    return out + coding.encode_ordinary(text[done:])
+
+
 class ChunkCodec:
     """Encodes a text as its chunks' encodings, each made once while it is kept, with repaired joins.
 
@@ -79,7 +100,7 @@ class ChunkCodec:
         self.encoded = self.reused = self.repaired = 0
 
     def _encode(self, part: bytes) -> np.ndarray:
-        return np.array(self.coding.encode_ordinary(part.decode("utf-8", "surrogatepass")), np.int32)
+        return np.array(encode_text(self.coding, part.decode("utf-8", "surrogatepass")), np.int32)
 
     def chunk(self, part: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the chunk, and where they start and end: n+1 byte places."""
@@ -179,7 +200,8 @@ def encode_documents(docs: DataFrame, ranks_path: str = RANKS_PATH) -> DataFrame
 
     token_ids are exactly those of encoding the whole text at once; round_trip tells whether decoding them gives the
     text's bytes again (always true; computed for every row). A null text has nulls; an empty one an
-    empty list and true. Rows that repeat and null doc_ids are encoded like any. Only doc_id and text are read.
+    empty list and true. Rows that repeat and null doc_ids are encoded like any. Only doc_id and text are read. Texts of any
+    length are encoded whole, runs of millions of blanks, letters or signs included.
 
     Narrow, no shuffle: chunks that documents share are encoded once by each Python worker while it keeps them, which
     holds over the tasks that a worker runs. Sending every chunk's tokens to its documents instead would shuffle

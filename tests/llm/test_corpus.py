@@ -498,6 +498,34 @@ def test_encoding_is_exact_at_any_cuts(sample):
     assert c.reused - start > len(sample) and c.repaired > len(sample)
 
 
+def pieces_encoded(text):
+    """The text split by another engine, piece by piece."""
+    enc = coding()
+    return [i for p in regex.findall(token_counts.SPLIT, text) for i in enc._encode_single_piece(p.encode())]
+
+
+def test_long_blank_runs_split_as_short_ones():
+    r, enc = random.Random(11), coding()
+    for _ in range(2000):
+        text = "".join(r.choices(["a", " ", "  ", "\n", "\t\n", "\u3000", "1", "!", "'s", "é"], k=r.randint(0, 25)))
+        assert bpe_codec.encode_text(enc, text, long_blanks=r.randint(2, 4)) == enc.encode_ordinary(text)
+
+
+LONG_RUNS = {"blanks": " ", "newlines": "\n", "wide blanks": "\u3000", "letters": "a", "cjk": "漢", "digits": "7", "signs": "!", "mixed": " \n"}
+
+
+def test_runs_of_a_million_characters(spark):
+    c = bpe_codec.ChunkCodec(token_counts.read_ranks(token_counts.RANKS_PATH))
+    for unit in LONG_RUNS.values():
+        for text in ("word " + unit * 1_000_000 + "x y", unit * 1_000_000):
+            assert c.encode(np.frombuffer(text.encode(), np.uint8)).tolist() == pieces_encoded(text)
+    docs = [(i, "word " + unit * 1_000_000 + "x") for i, unit in enumerate(LONG_RUNS.values())]
+    got = {r.doc_id: r for r in bpe_codec.encode_documents(frame(spark, [doc(*d) for d in docs])).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(frame(spark, [doc(*d) for d in docs])).collect()}
+    for i, text in docs:
+        assert got[i].round_trip and got[i].token_ids == pieces_encoded(text) and counts[i] == got[i].n_tokens
+
+
 def test_cuts_follow_the_content():
     r = random.Random(3)
     text = prose(r, 6000).encode()
