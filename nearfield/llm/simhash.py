@@ -9,14 +9,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.llm.components import connected_components
 from nearfield.llm.textscan import WORD, groups_of_rows, materialize, string_spans, words_of
 
 BYTES = 16  # a fingerprint has 128 bits
 MAX_DISTANCE = 20
-#: Positions that two fingerprints of at most MAX_DISTANCE have in common at least. A differing bit spoils one of the 16
-#: bytes; see near_pairs() for what is certain and what is likely.
+#: Equal bytes, position by position, that near fingerprints have in one half at least. Up to 11 differing bits can spoil 11
+#: of the 16 bytes at most, which leaves 5, so 3 in one half: within 11 bits this minimum is guaranteed.
 MIN_SHARED = 3
 _CHUNK = 1 << 19
 #: The index's postings: any three positions within the first or the second half.
@@ -85,10 +86,11 @@ def postings(distinct: DataFrame) -> DataFrame:
     return distinct.select("hi", "lo", "node").mapInArrow(run, "key long, hi long, lo long, node long")
 
 
-def _verify(a: np.ndarray, b: np.ndarray, distance: int, shared: int) -> np.ndarray:
-    """Count filter, then the Hamming distance itself; a and b are rows of two 64-bit words."""
+def near(a: np.ndarray, b: np.ndarray, distance: int = MAX_DISTANCE, shared: int = MIN_SHARED) -> np.ndarray:
+    """Whether fingerprints, rows of two 64-bit words, are near: the count filter (`shared` equal bytes by position in one half),
+    then the Hamming distance."""
     x = a ^ b
-    equal = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, BYTES) == 0).sum(1)
+    equal = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 2, BYTES // 2) == 0).sum(2).max(1)
     ok = equal >= shared
     ok[ok] = np.bitwise_count(x[ok].view(np.uint64)).sum(1) <= distance
     return ok
@@ -109,7 +111,7 @@ def bucket_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, distance: int
         if not len(i):
             break
         for part in np.array_split(i, 1 + len(i) // 500_000):
-            ok = _verify(f[part], f[part + gap], distance, shared)
+            ok = near(f[part], f[part + gap], distance, shared)
             edges.append(np.stack([node[part[ok]], node[part[ok] + gap]], 1))
     for s, n in zip(start[size > small].tolist(), size[size > small].tolist()):
         g, d = f[s : s + n], node[s : s + n]
@@ -122,17 +124,17 @@ def bucket_edges(key: np.ndarray, f: np.ndarray, node: np.ndarray, distance: int
                 at, left = int(left[0]), left[1:]
             if not len(left):
                 break
-            near = _verify(np.broadcast_to(g[at], (len(left), 2)), g[left], distance, shared)
-            hit = left[near]
+            close = near(np.broadcast_to(g[at], (len(left), 2)), g[left], distance, shared)
+            hit = left[close]
             if len(hit):
                 edges.append(np.stack([np.full(len(hit), d[at]), d[hit]], 1))
                 queue += hit.tolist()
-                left = left[~near]
+                left = left[~close]
     return np.concatenate(edges)
 
 
 def near_pairs(index: DataFrame, distance: int = MAX_DISTANCE, shared: int = MIN_SHARED) -> DataFrame:
-    """(a, b), a < b: edges whose connected components are those of all indexed pairs within the distance."""
+    """(a, b), a < b: edges whose connected components are those of all near pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -185,51 +187,72 @@ def forest(edges: np.ndarray) -> np.ndarray:
     return np.stack([names[label[up]], names[up]], 1)
 
 
-def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shared: int = MIN_SHARED) -> DataFrame:
-    """(doc_id, group_id, group_size) of the documents that have a near copy; group_id is the smallest doc_id.
-
-    Two documents are near copies if their SimHash fingerprints (128 bits over the distinct words, case folded) differ in
-    at most `distance` bits; groups are the connected components. Each fingerprint is posted under its bytes by
-    position, three positions of one half of the 16 at a time (so postings stay short at any corpus size); pairs
-    that meet are held against the count filter (`shared` equal positional bytes) and then verified by their Hamming
-    distance. Certain: pairs of up to 11 bits, which leave 5 bytes equal, three of them in one half. Likely: the
-    others; 17 bits leave 5.3 bytes equal on average, 20 bits 4.4. The measured recall over all pairs is in the README.
-
-    Equal fingerprints are one node, so thousands of copies cost one posting list entry. Null doc_ids, null texts and texts
-    without a word are in no group; rows that repeat a doc_id count once. Only doc_id and text are read."""
+def grouped(docs: DataFrame, distance: int, shared: int) -> DataFrame:
+    """(doc_id, hi, lo, component) of each document's fingerprints; a component is named by one of its nodes. Rows that agree
+    in all three are one."""
     prints = materialize(fingerprint_table(docs), "simhash")
-    distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
+    # a node of its own for each fingerprint: documents may share a doc_id
+    distinct = prints.groupBy("hi", "lo").agg(F.lit(1)).select("hi", "lo", F.monotonically_increasing_id().alias("node"))
     nodes = materialize(distinct, "simhash-nodes")
     edges = materialize(near_pairs(postings(nodes), distance, shared), "simhash-edges")
     groups = connected_components(edges)
     named = nodes.join(groups, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component"))
-    members = prints.join(named, ["hi", "lo"]).select("doc_id", "component").distinct()
-    # a doc_id whose rows differ may be in two groups: the smaller one counts
-    members = members.groupBy("doc_id").agg(F.min("component").alias("component"))
+    return prints.join(named, ["hi", "lo"]).select("doc_id", "hi", "lo", "component")
+
+
+def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, shared: int = MIN_SHARED) -> DataFrame:
+    """(doc_id, group_id, group_size) of the documents that have a near copy; group_id is the smallest doc_id.
+
+    Two documents are near copies if their SimHash fingerprints (128 bits over the distinct words, case folded) have `shared`
+    equal bytes by position in one half and differ in at most `distance` bits; groups are the connected components. Each
+    fingerprint is posted under its bytes by position, three positions of a half at a time (so postings stay short at
+    any corpus size); pairs that meet are held against the count filter and then verified by their Hamming
+    distance. No such pair is lost. Up to 11 bits the filter holds for every pair, so there it is the Hamming distance alone that
+    counts; for what it leaves out beyond that see the README.
+
+    Equal fingerprints are one node, so thousands of copies cost one posting list entry. Null doc_ids, null texts and texts
+    without a word are in no group; rows that repeat a doc_id count once. Where rows of one doc_id have unlike texts, each text
+    is in its own group, so the doc_id may have several rows. Only doc_id and text are read."""
+    members = grouped(docs, distance, shared).select("doc_id", "component").distinct()
     sizes = members.groupBy("component").agg(F.count("*").alias("group_size"), F.min("doc_id").alias("group_id")).where("group_size > 1")
     return members.join(sizes, "component").select("doc_id", "group_id", "group_size")
 
 
 def keep_one_of_each(docs: DataFrame, distance: int = MAX_DISTANCE, shared: int = MIN_SHARED) -> DataFrame:
-    """The rows of docs, all columns as they were, but of each group of near_duplicates() only the row of group_id.
+    """The rows of docs, all columns as they were, but of each group of near copies only one: the row of the smallest doc_id (if
+    it has several texts in the group, that of the smallest fingerprint; of rows with one fingerprint the smallest text, then any).
+
+    Rows that share a doc_id but have unlike texts are in different groups, so each stays. Rows with a null doc_id, a null
+    text or no word stay."""
+    members = materialize(grouped(docs, distance, shared), "simhash-members")
+    first = members.groupBy("component").agg(F.min(F.struct("doc_id", "hi", "lo")).alias("first"))
+    gone = members.join(first, "component").where(F.struct("doc_id", "hi", "lo") != F.col("first")).select("doc_id", "hi", "lo")
+    gone = materialize(gone.distinct().toDF("nf_doc", "nf_hi", "nf_lo"), "simhash-gone")
+    key = docs["doc_id"].cast("long")
+    # most corpora have no repeated doc_id, so what is to go is known by its doc_id
+    again = docs.where("doc_id is not null").groupBy(key.alias("nf_again")).count().where("count > 1").select("nf_again")
+    again = materialize(again, "repeated-rows")
+    if again.isEmpty():
+        return docs.join(gone.select("nf_doc"), key == gone["nf_doc"], "left_anti")
+    rest = docs.join(again, key == again["nf_again"], "left_anti").join(gone.select("nf_doc"), key == F.col("nf_doc"), "left_anti")
+    some = with_fingerprints(docs.join(again, key == again["nf_again"], "left_semi"))
+    some = some.withColumn("nf_key", F.col("doc_id").cast("long"))
+    left = some.join(gone, [some["nf_key"] == gone["nf_doc"], some["nf_own_hi"] == gone["nf_hi"], some["nf_own_lo"] == gone["nf_lo"]], "left_anti")
+    # an aggregate in parts: a row may be repeated any number of times
+    one = left.where("nf_own_hi is not null").groupBy("nf_key", "nf_own_hi", "nf_own_lo").agg(F.min_by(F.struct(*docs.columns), "text").alias("r")).select("r.*")
+    return rest.unionByName(one).unionByName(left.where("nf_own_hi is null").select(*docs.columns))
 
-    Of rows that share a doc_id one stays (the smallest text, then any: they agree in what was compared).
-    Rows with a null doc_id, a null text or no word stay."""
-    twins = near_duplicates(docs, distance, shared).where("doc_id <> group_id").select(F.col("doc_id").alias("nf_twin"))
-    left = docs.join(twins, docs["doc_id"].cast("long") == twins["nf_twin"], "left_anti")
-    return one_row_each(left)
 
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """docs with the columns nf_own_hi and nf_own_lo, null for a null text or one without a word."""
+    at = docs.columns.index("text")
+    names = [*docs.columns, "nf_own_hi", "nf_own_lo"]
 
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """One row of each doc_id; rows without one stay. Most corpora have no repeated row: only if a narrow count finds
-    some are they resolved by a window, over those documents only."""
-    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("nf_again")).count().where("count > 1").select("nf_again")
-    again = materialize(again, "repeated-rows")
-    if again.isEmpty():
-        return docs
-    from pyspark.sql import Window
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f, words = fingerprints(*string_spans(b.column(at)))
+            two = np.ascontiguousarray(f).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(two[:, i], mask=words == 0) for i in range(2))], names)
 
-    rest = docs.join(again, docs["doc_id"] == again["nf_again"], "left_anti")
-    some = docs.join(again, docs["doc_id"] == again["nf_again"], "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("text")
-    return rest.unionByName(some.withColumn("nf_nth", F.row_number().over(w)).where("nf_nth = 1").drop("nf_nth"))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names[-2:])])
+    return docs.mapInArrow(run, schema)
