@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ _COMBINE = 1 << 22
 
 
 def masked_tokens(line: str) -> list[str]:
-    """Tokens by white space; one with a digit is a variable field."""
+    """Tokens by white space; one with a digit is a variable field, and so is WILD where a text has it itself."""
     tokens = line.split()
     if _DIGIT(line):
         return [WILD if _DIGIT(t) else t for t in tokens]
@@ -47,43 +48,61 @@ class Leaf:
     """Templates of one leaf. A line joins the template with the most equal tokens (ties: the older), if these are
     enough, and turns the template's other tokens into wild ones; else it founds a template.
 
-    Wild tokens count as unequal. A line and a template that differ in at most e places agree wholly on one of e+1
-    stretches, so templates are looked up by their stretches and only those are compared; the stretches leave out the
-    leading tokens, which all lines of the leaf share."""
+    Wild tokens count as unequal. A line and a template that differ in at most e places agree wholly on one of any e+1
+    groups of places, so templates are looked up by their tokens in each group and only those are compared. The groups
+    leave out the leading tokens, which all lines of the leaf share. Whenever the templates have doubled the groups are laid
+    anew: places are dealt out by how many different tokens they have, so that no group consists of what all lines share.
+    This changes no result, only how many templates are compared."""
 
     def __init__(self, n: int, leading: int, similarity: float):
-        first = min(leading, n)
-        rest = n - first
-        self.need = first + int(np.ceil(similarity * rest - 1e-9))
-        apart = n - self.need
-        self.whole = rest <= apart  # no stretch can be promised: compare with every template
-        k = apart + 1
-        edge = [first + rest * i // k for i in range(k + 1)]
-        self.stretches = [(i, a, b) for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
+        self.first = min(leading, n)
+        rest = n - self.first
+        self.need = self.first + int(np.ceil(similarity * rest - 1e-9))
+        self.n, self.relay = n, 64
         self.templates: list[list[str]] = []
         self.docs: list[int] = []
+        self.names: dict[str, str] = {}  # one object for each token
+        self._lay(range(self.first, n))
+
+    def _lay(self, places: Iterable[int]) -> None:
+        """The groups, from places in the order of how telling they are, and the index by them."""
+        k = self.n - self.need + 1
+        groups: list[list[int]] = [[] for _ in range(k)]
+        for i, p in enumerate(places):
+            groups[i % k].append(p)
+        self.groups = [(g, itemgetter(*ps)) for g, ps in enumerate(groups) if ps]
         self.index: dict[tuple, list[int]] = {}
+        for t, tokens in enumerate(self.templates):
+            self._post(t, tokens)
+
+    def _keys(self, tokens: list[str]) -> list[tuple]:
+        keys = ((g, pick(tokens)) for g, pick in self.groups)
+        return [k for k in keys if k[1] != WILD and (isinstance(k[1], str) or WILD not in k[1])]
+
+    def _post(self, t: int, tokens: list[str]) -> None:
+        for key in self._keys(tokens):
+            self.index.setdefault(key, []).append(t)
 
     def add(self, tokens: list[str], doc: int) -> int | None:
         """The document that founded the line's template, or None if the line founds one."""
-        if self.whole:
-            near = range(len(self.templates))
-        else:
-            near = sorted({t for i, a, b in self.stretches for t in self.index.get((i, *tokens[a:b]), ())})
         best, most = -1, self.need - 1
-        for t in near:
+        for t in sorted({t for key in self._keys(tokens) for t in self.index.get(key, ())}):
             same = sum(x == y and x != WILD for x, y in zip(tokens, self.templates[t]))
             if same > most:
                 best, most = t, same
         if best >= 0:
             old = self.templates[best]
-            if most < len(old):
+            if most < self.n:
                 self.templates[best] = [x if x == y else WILD for x, y in zip(tokens, old)]
             return self.docs[best]
+        tokens = [self.names.setdefault(x, x) for x in tokens]
         self.templates.append(tokens)
         self.docs.append(doc)
-        for i, a, b in self.stretches:
-            self.index.setdefault((i, *tokens[a:b]), []).append(len(self.templates) - 1)
+        self._post(len(self.templates) - 1, tokens)
+        if len(self.templates) == self.relay:
+            self.relay *= 2
+            varied = [len({t[p] for t in self.templates}) for p in range(self.n)]
+            self._lay(sorted(range(self.first, self.n), key=lambda p: -varied[p]))
         return None
 
 
@@ -172,8 +191,8 @@ def recurring_lines(docs: DataFrame, similarity: float = SIMILARITY, leading: in
     A line goes if a smaller document has the same masked line, or if it falls under a template that a smaller
     document founded. A line of fewer than `least` tokens goes if a smaller document has the very same tokens and
     enough_docs documents of the whole corpus have them. Lines enter their leaf in the order of (doc_id, line), so the
-    result doesn't depend on how the corpus is split. Leaves are streamed in sorted order: only the templates of one leaf,
-    and the lines of its short ones that are not yet in enough documents, are in memory."""
+    result doesn't depend on how the corpus is split. Leaves are streamed in sorted order: only the templates of one leaf, 128
+    bits of each of its different lines, and the lines of its short ones that are not yet in enough documents, are in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, tree, seen, waiting = None, None, {}, {}
@@ -200,7 +219,8 @@ def recurring_lines(docs: DataFrame, similarity: float = SIMILARITY, leading: in
                             line.extend(by_doc[other])
                         waiting[key] = None
                     continue
-                had = seen.get(key)
+                name = xxhash.xxh3_128_digest(key)
+                had = seen.get(name)
                 if had is None:
                     tokens = key.split(" ")
                     if tree is None:
@@ -209,7 +229,7 @@ def recurring_lines(docs: DataFrame, similarity: float = SIMILARITY, leading: in
                     if at not in tree:
                         tree[at] = Leaf(len(tokens), leading, similarity)
                     founder = tree[at].add(tokens, d)
-                    had = seen[key] = (d, founder is not None and founder != d)
+                    had = seen[name] = (d, founder is not None and founder != d)
                 if had[1] or had[0] != d:
                     doc.append(d)
                     line.append(i)

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -607,6 +608,37 @@ def test_line_dedup(spark, odd_docs):
     assert line_templates.dedup_lines(no_docs(spark)).count() == 0
 
 
+def test_a_leaf_of_many_unlike_lines_is_fast():
+    r = random.Random(19)
+    words = ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(2000)]
+    opening = "all these lines open alike with".split()
+    for places, vocabulary in (((3, 4, 5), words), ((4, 7, 10), words), ((3, 4, 5), words[:40])):
+        leaf, tokens = line_templates.Leaf(12, 3, 0.7), 0
+        began = time.time()
+        for i in range(100_000):
+            line = opening[:3] + r.choices(vocabulary, k=9)
+            for p, w in zip(places, opening[3:]):
+                line[p] = w
+            leaf.add(line, i)
+        assert time.time() - began < 30 and len(leaf.templates) > 10_000
+
+
+@pytest.mark.parametrize("vocabulary", [3, 6, 40])
+def test_leaves_find_what_comparing_with_all_finds(vocabulary):
+    r = random.Random(vocabulary)
+    words = [f"w{chr(97 + i)}" for i in range(vocabulary)] + ["<*>"]
+    texts = [(d, "\n".join(" ".join(["the", "same", "start"] + r.choices(words, k=r.choice((1, 4, 9)))) for _ in range(4))) for d in range(400)]
+    trees, gone = {}, set()
+    seen = {}
+    for d, i, tokens in sorted((d, i, tuple(x.split())) for d, t in texts for i, x in enumerate(t.split("\n"))):
+        if tokens not in seen:
+            founder = trees.setdefault(len(tokens), line_templates.Leaf(len(tokens), 3, 0.7)).add(list(tokens), d)
+            seen[tokens] = (d, founder is not None and founder != d)
+        if seen[tokens][1] or seen[tokens][0] != d:
+            gone.add((d, i))
+    assert gone == drain(texts) and gone
+
+
 @pytest.mark.parametrize("combine", [line_templates._COMBINE, 300])
 def test_short_lines_go_once_enough_documents_have_them(spark, monkeypatch, combine):
     monkeypatch.setattr(line_templates, "_COMBINE", combine)
