@@ -1,23 +1,30 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised test items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the words of the normalised test items."""
 
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textscan import plain_words
+from nearfield.llm.suffix_dedup import sliding_least
+from nearfield.llm.textscan import mix64, plain_words, span_hashes
 
 WINDOW_WORDS = 13
+#: Items of fewer words have no pattern: one to three words stand in texts that never saw the test.
 MIN_WORDS = 4
-#: The test items are collected and sent to every worker; more than this is refused.
-MAX_BENCHMARK_BYTES = 64 << 20
+#: Words of the automaton's patterns: of each window the span of so many words with the least hash.
+SEED_WORDS = 6
+#: Bytes of test items that one automaton holds; a larger suite is scanned in parts.
+PART_BYTES = 8 << 20
 SCHEMA = "doc_id long, item_id long, start long, end long, n_windows long"
-_automata: dict[str, ahocorasick.Automaton] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def normalise(text: str) -> str:
@@ -25,57 +32,97 @@ def normalise(text: str) -> str:
     return " ".join(plain_words(text)).lower()
 
 
-def patterns_of(items: list[tuple[int, str]], window: int, least: int) -> list[tuple[str, int, list[int]]]:
-    """(pattern, words in it, items that hold it): every window of `window` words of an item, or the whole item
-    if it has fewer; an item of under `least` words has no pattern."""
-    found: dict[str, tuple[int, set[int]]] = {}
-    for item, text in items:
-        words = normalise(text).split()
-        n = min(window, len(words))
-        if len(words) < least:
-            continue
-        for i in range(len(words) - n + 1):
-            found.setdefault(" " + " ".join(words[i : i + n]) + " ", (n, set()))[1].add(item)
-    return [(p, n, sorted(ids)) for p, (n, ids) in found.items()]
-
-
-def automaton_of(patterns: list[tuple[str, int, list[int]]]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for p, n, ids in patterns:
-        a.add_word(p, (n, ids))
-    if patterns:
-        a.make_automaton()
-    return a
-
-
-def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
+class Matcher:
+    """Finds windows of `window` words of the items (whole items, if shorter) in texts.
+
+    The automaton's symbols are words. Its patterns are not the windows, of which every word of an item begins one, but one
+    span of SEED_WORDS words in each window, the one with the least hash: neighbouring windows share it, so about two
+    words in nine begin a pattern. A text that holds a window holds its span; where the automaton finds a span, the
+    equal words around it are counted in the item itself, so what is found are exactly the windows."""
+
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW_WORDS, least: int = MIN_WORDS, seed: int = SEED_WORDS):
+        self.window, self.ids, self.number, lengths, flat = window, [], {}, [], array("i")
+        number = self.number
+        for item, text in items:
+            words = normalise(text).split()
+            if len(words) >= least:
+                flat.extend([number.setdefault(w, len(number) + 1) for w in words])
+                self.ids.append(item)
+                lengths.append(len(words))
+        self.flat = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+        self.first = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        seed = min(seed, window)
+        at = np.zeros(0, np.int64)
+        if len(self.flat) >= window:
+            where = np.arange(len(self.flat) - seed + 1)
+            _, place = sliding_least(span_hashes(mix64(self.flat.astype(np.uint64)), where, where + seed), window - seed + 1)
+            item = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            at = np.unique(place[item[: len(item) - window + 1] == item[window - 1 :]])  # of windows within an item
+        size = np.full(len(at), seed)
+        # items shorter than a window: their first words
+        short = np.flatnonzero(np.array(lengths, np.int64) < window)
+        at, size = np.r_[at, self.first[short]], np.r_[size, np.minimum(np.array(lengths, np.int64)[short], seed)]
+        spans = np.zeros((len(at), seed), np.int32)
+        for k in range(seed):
+            spans[size > k, k] = self.flat[at[size > k] + k]
+        # equal spans are one pattern; its places lie together
+        spans, of = np.unique(spans, axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        self.places = at[order]
+        self.group = np.searchsorted(of.ravel()[order], np.arange(len(spans) + 1))
+        self.sizes = (spans > 0).sum(1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, n in enumerate(self.sizes.tolist()):
+            self.automaton.add_word(tuple(spans[i, :n].tolist()), i)
+        if len(spans):
+            self.automaton.make_automaton()
+
+    def windows(self, words: list[str]) -> dict[int, dict[int, int]]:
+        """Where windows begin, by item: the index of the first word, and the words of the window."""
+        by_item: dict[int, dict[int, int]] = {}
+        if not self.ids or not words:
+            return by_item
+        get = self.number.get
+        ids = tuple([get(w, 0) for w in words])
+        flat, n, done = self.flat, len(ids), {}
+        for stop, i in self.automaton.iter(ids):
+            size = int(self.sizes[i])
+            p = stop - size + 1
+            for q in self.places[self.group[i] : self.group[i + 1]].tolist():
+                if done.get(p - q, 0) > p:
+                    continue  # lies in the equal words around an earlier span
+                k = int(np.searchsorted(self.first, q, "right")) - 1
+                low, high = int(self.first[k]), int(self.first[k + 1])
+                a, b, end = p, p + size, q + size
+                while a > 0 and q > low and ids[a - 1] == flat[q - 1]:
+                    a, q = a - 1, q - 1
+                while b < n and end < high and ids[b] == flat[end]:
+                    b, end = b + 1, end + 1
+                done[a - q] = b
+                need = min(self.window, high - low)
+                if b - a >= need:
+                    by_item.setdefault(self.ids[k], {}).update(dict.fromkeys(range(a, b - need + 1), need))
+        return by_item
+
+
+def scan(text: str, matcher: Matcher) -> list[tuple[int, int, int, int]]:
     """(item, start, end, windows) by item and start: matched windows of an item whose words overlap or adjoin
     are one span. The normalised text is scanned once; only if something matched are its words laid against
     the original, whose characters start and end count."""
     words = plain_words(text)
-    flat = " " + " ".join(words).lower() + " "
-    hits = list(automaton.iter(flat))
-    if not hits:
+    # lower() may change a word's length, not the number of words
+    by_item = matcher.windows(" ".join(words).lower().split(" ")) if words else {}
+    if not by_item:
         return []
-    # place in flat of the space before each word -> index of the word; lower() may change a word's length
-    at, first = 0, {}
-    for i, w in enumerate(words):
-        first[at] = i
-        at += len(w.lower()) + 1
     ends, here = [], 0
     for w in words:
         here = text.index(w, here) + len(w)
         ends.append(here)
-    last = {p + len(words[i].lower()) + 1: i for p, i in first.items()}
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for stop, (n, ids) in hits:
-        j = last[stop]
-        for item in ids:
-            by_item.setdefault(item, []).append((j - n + 1, j))
     out = []
     for item in sorted(by_item):
         spans: list[list[int]] = []
-        for a, b in sorted(by_item[item]):
+        for a, n in sorted(by_item[item].items()):
+            b = a + n - 1
             if spans and a <= spans[-1][1] + 1:
                 spans[-1][1] = max(spans[-1][1], b)
                 spans[-1][2] += 1
@@ -85,37 +132,35 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, in
     return out
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, least: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, item_id, start, end, n_windows): the spans of each text that repeat `window` words of an item.
-
-    Texts and items are compared as lower-case words (\\w+), so case, punctuation and white space don't matter.
-    start and end count characters of the original text, from 0, end excluded; n_windows is how many windows
-    matched. An item of fewer words than `window` matches whole, one of under `least` words never. Null or empty
-    texts and items match nothing; rows with a null item_id are left out of the benchmark; repeated document rows
-    give repeated spans, a repeated item none. An empty benchmark gives no rows. Only doc_id, text and item_id,
-    text are read. Narrow: the items go to the workers once their bytes are known to be under
-    MAX_BENCHMARK_BYTES (ValueError beyond it; a suite that large needs a split over several calls)."""
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"), "text"
-    )
-    held = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    if held > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"{held} bytes of test items; at most {MAX_BENCHMARK_BYTES} are sent to the workers")
-    patterns = patterns_of([(r[0], r[1]) for r in items.distinct().collect()], window, least)
-    sent = docs.sparkSession.sparkContext.broadcast(patterns)
+def parts_of(items: Iterator[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
+    """Consecutive items of at most `most` bytes together; a larger one is a part of its own."""
+    part: list[tuple[int, str]] = []
+    held = 0
+    for item, text in items:
+        size = len(text.encode("utf-8", "surrogatepass"))
+        if part and held + size > most:
+            yield part
+            part, held = [], 0
+        part.append((item, text))
+        held += size
+    if part:
+        yield part
+
+
+def spans_of(docs: DataFrame, sent: Broadcast, window: int, least: int) -> DataFrame:
+    """The spans of one part of the items."""
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = automaton_of(sent.value)
-        automaton = _automata[key]
+        if key not in _matchers:
+            _matchers.clear()
+            _matchers[key] = Matcher(sent.value, window, least)
+        matcher = _matchers[key]
         for b in batches:
             rows = []
-            if sent.value:
-                for d, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    if text := text.as_py():
-                        rows += [(d, *s) for s in scan(text, automaton)]
+            for d, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if text := text.as_py():
+                    rows += [(d, *s) for s in scan(text, matcher)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "n_windows"]
@@ -124,6 +169,29 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
+def contaminated_spans(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, least: int = MIN_WORDS, part_bytes: int = PART_BYTES
+) -> DataFrame:
+    """(doc_id, item_id, start, end, n_windows): the spans of each text that repeat `window` words of an item.
+
+    Texts and items are compared as lower-case words (\\w+), so case, punctuation and white space don't matter.
+    start and end count characters of the original text, from 0, end excluded; n_windows is how many windows
+    matched. An item of fewer words than `window` matches whole, one of under `least` words never. Null or empty
+    texts and items match nothing; rows with a null item_id are left out of the benchmark; repeated document rows
+    give repeated spans, a repeated item none; texts of any length are scanned whole. An empty benchmark gives no rows. Only
+    doc_id, text and item_id, text are read. Narrow: the items go to the workers in parts of at most part_bytes, for each of
+    which the texts are scanned once; an item lies in one part, so the result is the same at any size."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("item_id").cast("long").alias("item_id"), "text"
+    )
+    spark = docs.sparkSession
+    out = None
+    for part in parts_of(((r[0], r[1]) for r in items.distinct().toLocalIterator()), part_bytes):
+        one = spans_of(docs, spark.sparkContext.broadcast(part), window, least)
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], SCHEMA) if out is None else out
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, least: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, all columns as they were, without the documents in which contaminated_spans() finds any.
 

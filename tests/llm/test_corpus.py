@@ -1,8 +1,11 @@
 """Each corpus operator against a brute-force version, and its defined cases."""
 
 import math
+import pathlib
 import random
 import re
+import subprocess
+import sys
 import time
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -263,11 +266,60 @@ def test_decontamination(spark, odd_docs):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 4, 5, 7, None]
     assert decontaminate.decontaminate(odd_docs, bench).columns == odd_docs.columns
+    assert rows(decontaminate.contaminated_spans(docs, bench, part_bytes=40)) == got  # an automaton for each item
+    odd = [tuple(x)[:2] for x in odd_docs.collect()] + [(99, "word " * 300_000 + " ".join(p) + " word" * 300_000)]
+    found = rows(decontaminate.contaminated_spans(frame(spark, odd, "doc_id long, text string"), bench))
+    assert found == sorted(((d, *x) for d, t in odd for x in leaks(t, [x for x in dict.fromkeys(items) if x[0] is not None])), key=repr) and found
     empty = frame(spark, [], "item_id long, text string")
     assert decontaminate.contaminated_spans(docs, empty).count() == 0 and decontaminate.decontaminate(docs, empty).count() == len(data)
     assert decontaminate.contaminated_spans(no_docs(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [2, 5, 40])
+def test_matcher_finds_all_windows(vocabulary):
+    """Few words: spans recur within items and texts, and items within each other."""
+    r = random.Random(vocabulary)
+    words = [f"w{i}" for i in range(vocabulary)]
+    for _ in range(60):
+        window = r.choice((3, 8, 13))
+        items = [(i // 2, " ".join(r.choices(words, k=r.randint(0, 40)))) for i in range(12)]
+        m = decontaminate.Matcher(items, window, 2)
+        for _ in range(5):
+            text = " ".join(r.choices(words, k=r.randint(0, 60)) + r.choice(items)[1].upper().split() + r.choices(words, k=9))
+            want = []
+            for item in {i for i, _ in items}:
+                at = set()
+                for i, q in items:
+                    if i == item and len(q.split()) >= 2:
+                        n = min(window, len(q.split()))
+                        grams = {tuple(q.split()[k : k + n]) for k in range(len(q.split()) - n + 1)}
+                        at |= {(k, n) for k in range(len(text.split()) - n + 1) if tuple(text.lower().split()[k : k + n]) in grams}
+                if at:
+                    want.append((item, {k for k, _ in at}))
+            assert {k: set(v) for k, v in m.windows(text.lower().split()).items()} == dict(want)
+
+
+def test_matcher_of_a_whole_suite_is_small():
+    code = """
+import random, resource
+from nearfield.llm import decontaminate
+r = random.Random(1)
+words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(60_000)]
+items, size = [], 0
+while size < 8 << 20:
+    t = " ".join(r.choices(words, k=60))
+    size += len(t)
+    items.append((len(items), t))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m = decontaminate.Matcher(items)
+assert m.windows(items[5][1].split())
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    root = pathlib.Path(__file__).resolve().parents[2]
+    used = int(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout)
+    assert used < 300
+
+
 # --- 5 near copies
 
 
