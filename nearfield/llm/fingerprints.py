@@ -101,10 +101,33 @@ def fingerprint_rows(docs: DataFrame, lead_chars: int = LEAD_CHARS) -> DataFrame
     )
 
 
-#: Up to so many leading spans that documents share are sent to the workers, 24 bytes each.
+#: Up to so many leading spans that documents share are sent to the workers, 17 bytes each in sorted arrays.
 MAX_SENT_LEADS = 4_000_000
 
 
+class LeadTable:
+    """Documents by leading span (two hashes below 2**31 and a length) in sorted arrays."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, doc: np.ndarray):
+        key = (a.astype(np.int64) << 31) | b.astype(np.int64)
+        order = np.lexsort((n, key))
+        self.key, self.n, self.doc = key[order], n[order].astype(np.uint8 if not len(n) or n.max() < 256 else np.int64), doc[order]
+
+    def find(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, whether there is one) of each span."""
+        key = (a << 31) | b
+        at = np.searchsorted(self.key, key)
+        hit, doc = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        live = np.flatnonzero(at < len(self.key))
+        while len(live):  # more than once only where the hashes of spans of different lengths collide
+            live = live[self.key[at[live]] == key[live]]
+            same = live[self.n[at[live]] == n[live]]
+            hit[same], doc[same] = True, self.doc[at[same]]
+            at[live] += 1
+            live = live[~hit[live] & (at[live] < len(self.key))]
+        return doc, hit
+
+
 def texts_of_shared(docs: DataFrame, shared: DataFrame, lead_chars: int, most: int = MAX_SENT_LEADS) -> DataFrame:
     """(lead_doc, doc_id, text) of the documents whose leading span others have; shared: (lead_a, lead_b, lead_n,
     lead_doc). The spans are sent to the workers, which then send on such texts only; if they are more than `most`, the
@@ -118,20 +141,21 @@ def texts_of_shared(docs: DataFrame, shared: DataFrame, lead_chars: int, most: i
             for text in b.column(1):
                 h = PrefixHash(text.as_py()[:lead_chars])
                 keys.append((*h.fingerprint(), h.n))
+            columns = np.array(keys, np.int64).reshape(-1, 3).T
             if known is None:
-                columns = [pa.array(c, pa.int64()) for c in (zip(*keys) if keys else [()] * 3)]
-                yield pa.RecordBatch.from_arrays([*columns, *b.columns], ["lead_a", "lead_b", "lead_n", "doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *b.columns], ["lead_a", "lead_b", "lead_n", "doc_id", "text"])
                 continue
-            leads = pa.array([known.get(k) for k in keys], pa.int64())
-            ok = leads.is_valid()
-            yield pa.RecordBatch.from_arrays([leads.filter(ok), *(c.filter(ok) for c in b.columns)], ["lead_doc", "doc_id", "text"])
+            lead, hit = known.find(*columns)
+            ok = pa.array(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[hit]), *(c.filter(ok) for c in b.columns)], ["lead_doc", "doc_id", "text"])
 
     rows = shared.select("lead_a", "lead_b", "lead_n", "lead_doc").limit(most + 1)
     if rows.count() > most:
         sent = None
         keyed = texts.mapInArrow(run, "lead_a long, lead_b long, lead_n long, doc_id long, text string")
         return keyed.join(shared, ["lead_a", "lead_b", "lead_n"]).select("lead_doc", "doc_id", "text")
-    sent = docs.sparkSession.sparkContext.broadcast({(a, b, n): d for a, b, n, d in rows.toLocalIterator()})
+    table = rows.toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast(LeadTable(*(np.asarray(table.column(i).to_numpy(), np.int64) for i in range(4))))
     return texts.mapInArrow(run, "lead_doc long, doc_id long, text string")
 
 

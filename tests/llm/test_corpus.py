@@ -186,7 +186,12 @@ def test_document_fingerprints(spark, odd_docs, sent):
         if r.text is None:
             want.append((r.doc_id, None, None, None, None, None))
             continue
-        f = [sum(ord(c) * pow(b, i, p) for i, c in enumerate(r.text)) % p for b, p in zip(fingerprints.BASES, fingerprints.MODULI)] if len(r.text) < 3000 else list(fingerprints.PrefixHash(r.text).fingerprint())
+        f = []
+        for b, p in zip(fingerprints.BASES, fingerprints.MODULI):
+            h = 0
+            for c in reversed(r.text):
+                h = (h * b + ord(c)) % p
+            f.append(h)
         if r.doc_id is None:
             want.append((None, len(r.text), *f, None, None))
             continue
@@ -199,6 +204,20 @@ def test_document_fingerprints(spark, odd_docs, sent):
     assert fingerprints.document_fingerprints(no_docs(spark), most_sent=sent).count() == 0
 
 
+def test_leads_are_found_by_hashes_and_length():
+    r = np.random.default_rng(3)
+    rows = np.unique(r.integers(0, 6, (120, 3)), axis=0)  # the same hashes at many lengths
+    table = fingerprints.LeadTable(*rows.T, np.arange(len(rows)))
+    asked = r.integers(0, 7, (500, 3))
+    doc, hit = table.find(*asked.T)
+    want = {tuple(x): i for i, x in enumerate(rows.tolist())}
+    assert [d if h else None for d, h in zip(doc.tolist(), hit.tolist())] == [want.get(tuple(x)) for x in asked.tolist()]
+    none = fingerprints.LeadTable(*np.zeros((4, 0), np.int64))
+    assert not none.find(*asked.T)[1].any()
+    most = fingerprints.LeadTable(*r.integers(0, 60, (3, 100_000)), np.arange(100_000))
+    assert sum(x.nbytes for x in (most.key, most.n, most.doc)) == 17 * 100_000
+
+
 @pytest.mark.parametrize("tasks", ["1", "7"])
 def test_longest_extensions_are_over_all_members(spark, tasks):
     r = random.Random(17)
