@@ -76,8 +76,10 @@ class Leaf:
             self._post(t, tokens)
 
     def _keys(self, tokens: list[str]) -> list[tuple]:
-        keys = ((g, pick(tokens)) for g, pick in self.groups)
-        return [k for k in keys if k[1] != WILD and (isinstance(k[1], str) or WILD not in k[1])]
+        keys = [(g, pick(tokens)) for g, pick in self.groups]
+        if WILD in tokens:  # it is equal to nothing
+            return [k for k in keys if k[1] != WILD and (isinstance(k[1], str) or WILD not in k[1])]
+        return keys
 
     def _post(self, t: int, tokens: list[str]) -> None:
         for key in self._keys(tokens):
@@ -86,7 +88,9 @@ class Leaf:
     def add(self, tokens: list[str], doc: int) -> int | None:
         """The document that founded the line's template, or None if the line founds one."""
         best, most = -1, self.need - 1
-        for t in sorted({t for key in self._keys(tokens) for t in self.index.get(key, ())}):
+        keys, index = self._keys(tokens), self.index
+        near = {t for key in keys if key in index for t in index[key]}
+        for t in sorted(near) if len(near) > 1 else near:
             same = sum(x == y and x != WILD for x, y in zip(tokens, self.templates[t]))
             if same > most:
                 best, most = t, same
