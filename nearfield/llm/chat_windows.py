@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -18,6 +19,8 @@ BUDGET = 512
 HISTORY = 128
 #: Tokens that a turn's markers take.
 TURN_OVERHEAD = 4
+_ROLE = re.compile(r"[^\w-]")
+_TURN = re.compile(r"<\|([\w-]*)\|>\n(.*?)\n<\|end\|>\n", re.S)
 TURN = "struct<turn:long,role:string,text:string,target:int>"
 SCHEMA = f"conv_id long, window int, first_turn long, last_turn long, n_tokens long, oversize boolean, turns array<{TURN}>, formatted string"
 
@@ -28,7 +31,14 @@ def word_count(text: Column) -> Column:
 
 
 def formatted_turn(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text}\n<|end|>\n"
+    """A turn between its markers. In the text every "<|" is written "<||", and in the role every character that is no letter, digit,
+    "_" or "-" as "_", so no text makes a marker; turns_of() undoes the former."""
+    return f"<|{_ROLE.sub('_', role)}|>\n{text.replace('<|', '<||')}\n<|end|>\n"
+
+
+def turns_of(formatted: str) -> list[tuple[str, str]]:
+    """(role, text) of the turns of a formatted window."""
+    return [(role, text.replace("<||", "<|")) for role, text in _TURN.findall(formatted)]
 
 
 def windows_of(tokens: list[int], fixed: int, budget: int, history: int) -> list[tuple[int, int, int]]:
@@ -63,7 +73,9 @@ def chat_windows(
     turn) is over the budget: texts are never cut. first_turn and last_turn are those of the span. A null text counts as
     empty, a null role as 'unknown'; rows without a conv_id are left out; rows that repeat are turns of their own. A
     conversation with nothing but a system turn has one window with no span: its turn numbers are null. Only conv_id, turn,
-    role and text are read; they meet in one shuffle by conversation."""
+    role and text are read, so other columns can't clash; they meet in one shuffle by conversation, whose turns are held in one
+    task. Turns of any length are kept whole. A turn that fills the budget exactly fits. Markers in texts are escaped in
+    formatted (see formatted_turn), not in turns."""
     rows = turn_rows(conversations).withColumn("tokens", (count(F.col("text")) + F.lit(overhead)).cast("long"))
     return windows(rows, budget, history)
 
