@@ -17,9 +17,11 @@ ORDER = 3
 TRAIN_DOCS = 300
 #: Contexts seen less often in all languages together are left out of the tree, at every order above 0.
 MIN_CONTEXT = 4
-#: A document is rejected if its best language takes more bits a byte than evenly drawn bytes would: text of these
-#: languages takes 2 to 4, of few words or many numbers up to 7, of another script 10 and more.
-REJECT_BITS = 8.0
+#: A text is rejected if its best language takes more bits than evenly drawn bytes of those that the sample has would (about 6.6
+#: a byte; the languages' own texts take 2 to 4), and so many more: few words tell little.
+SLACK_BITS = 32.0
+#: And if another language than its label's takes so many bits less: the label is then wrong, or the text not of one language.
+LABEL_BITS = 100.0
 #: The tables go to every worker; more than this is refused.
 MAX_MODEL_BYTES = 512 << 20
 _CHUNK = 1 << 19
@@ -169,69 +171,79 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int = ORDER, m
     return PPM(training_sample(docs, per_language), order, min_context)
 
 
-def identify(docs: DataFrame, model: PPM, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """(doc_id, language, bits_per_byte, margin_bits, accepted) for every row of docs.
-
-    language has the smallest exact code length for the whole text (ties: the first by name), bits_per_byte is that
-    length over the text's UTF-8 bytes, margin_bits how many bits more the second takes (null with one language).
-    accepted: bits_per_byte is at most reject_bits. A null or empty text has no language and is not accepted.
-    With no labelled row there is no model: language is null and every text that is not empty is accepted. Only
-    doc_id and text are read; repeated rows give repeated results. Narrow: no shuffle; the tables, whose size depends
-    on the bounded sample only, go to the workers."""
+def judged(model: PPM, batch: pa.RecordBatch, text: int, lang: int | None, slack_bits: float, label_bits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code lengths by language, bytes, whether it is accepted) of each row."""
+    raw, starts, ends = string_spans(batch.column(text))
+    sizes = ends - starts
+    lengths = model.code_lengths(raw, starts, ends)
+    ok = sizes > 0
+    if model.languages:
+        best = lengths.min(1)
+        ok &= best <= sizes * np.log2(max(2, model.classes)) + slack_bits
+        if lang is not None:
+            number = {k: i for i, k in enumerate(model.languages)}
+            own = np.array([number.get(x, -1) for x in batch.column(lang).to_pylist()], np.int64)
+            ok &= (own < 0) | (lengths[np.arange(len(own)), own] - best <= label_bits)
+    return lengths, sizes, ok
+
+
+def sent_model(docs: DataFrame, model: PPM):
+    """A function that gives the model in a worker."""
     if model.nbytes > MAX_MODEL_BYTES:
         raise ValueError(f"{model.nbytes} bytes of context tables; at most {MAX_MODEL_BYTES} are sent to the workers")
     sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def get() -> PPM:
         if key not in _models:
             _models.clear()
             _models[key] = sent.value
-        m = _models[key]
+        return _models[key]
+
+    return get
+
+
+def identify(docs: DataFrame, model: PPM, slack_bits: float = SLACK_BITS, label_bits: float = LABEL_BITS) -> DataFrame:
+    """(doc_id, language, bits_per_byte, margin_bits, accepted) for every row of docs.
+
+    language has the smallest exact code length for the whole text (ties: the first by name), bits_per_byte is that
+    length over the text's UTF-8 bytes, margin_bits how many bits more the second takes (null with one language).
+    accepted: the length is at most slack_bits more than that of evenly drawn bytes of those the sample has, and, if docs has
+    a column lang with a language of the model, at most label_bits less than under that. A null or empty text has no language and
+    is not accepted. With no labelled row there is no model: language is null and every text that is not empty is accepted.
+    Only doc_id, text and lang are read; repeated rows give repeated results; texts of any length are judged whole. Narrow:
+    no shuffle; the tables, whose size depends on the bounded sample only, go to the workers."""
+    get, lang = sent_model(docs, model), 2 if "lang" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = get()
         for b in batches:
-            raw, starts, ends = string_spans(b.column(1))
-            sizes = ends - starts
+            lengths, sizes, ok = judged(m, b, 1, lang, slack_bits, label_bits)
             empty = sizes == 0
             if m.languages:
-                lengths = m.code_lengths(raw, starts, ends)
-                best = lengths.argmin(1)
-                rate = lengths.min(1) / np.maximum(sizes, 1)
-                name = pa.array(np.array(m.languages, object)[best], pa.string(), mask=empty)
+                name = pa.array(np.array(m.languages, object)[lengths.argmin(1)], pa.string(), mask=empty)
                 second = np.partition(lengths, 1, axis=1)[:, 1] - lengths.min(1) if len(m.languages) > 1 else np.zeros(len(sizes))
                 margin = pa.array(second, pa.float64(), mask=empty | (len(m.languages) < 2))
-                rates = pa.array(rate, pa.float64(), mask=empty)
-                ok = (rate <= reject_bits) & ~empty
+                rates = pa.array(lengths.min(1) / np.maximum(sizes, 1), pa.float64(), mask=empty)
             else:
                 name, margin, rates = pa.nulls(len(sizes), pa.string()), pa.nulls(len(sizes), pa.float64()), pa.nulls(len(sizes), pa.float64())
-                ok = ~empty
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), name, rates, margin, pa.array(ok, pa.bool_())],
                 ["doc_id", "language", "bits_per_byte", "margin_bits", "accepted"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    columns = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"], *([docs["lang"].cast("string").alias("lang")] if lang else [])]
+    return docs.select(*columns).mapInArrow(run, SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: PPM, reject_bits: float = REJECT_BITS) -> DataFrame:
+def keep_identified(docs: DataFrame, model: PPM, slack_bits: float = SLACK_BITS, label_bits: float = LABEL_BITS) -> DataFrame:
     """The rows of docs, all columns as they were, that the model accepts: see identify(). One narrow pass, so rows
     that share a doc_id or have none are judged each by its own text."""
     names = docs.columns
-    schema = docs.schema
-    sent, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
-    at = names.index("text")
-    if model.nbytes > MAX_MODEL_BYTES:
-        raise ValueError(f"{model.nbytes} bytes of context tables; at most {MAX_MODEL_BYTES} are sent to the workers")
+    get, text, lang = sent_model(docs, model), names.index("text"), names.index("lang") if "lang" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _models:
-            _models.clear()
-            _models[key] = sent.value
-        m = _models[key]
+        m = get()
         for b in batches:
-            raw, starts, ends = string_spans(b.column(at))
-            sizes = ends - starts
-            ok = sizes > 0
-            if m.languages:
-                ok &= m.code_lengths(raw, starts, ends).min(1) <= reject_bits * sizes
-            yield b.filter(pa.array(ok, pa.bool_()))
+            yield b.filter(pa.array(judged(m, b, text, lang, slack_bits, label_bits)[2], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

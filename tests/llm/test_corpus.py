@@ -1014,6 +1014,15 @@ def test_language_id_defined_cases(spark, odd_docs, sample):
     assert [r.accepted for r in got if r.doc_id == 2] == [False]
     assert sorted((r.doc_id for r in language_id.keep_identified(docs, model).collect()), key=repr) == [1, None]
     assert language_id.keep_identified(odd_docs, model).columns == odd_docs.columns
+    # a label that another language contradicts, one that none knows, and a language that is none of the model's
+    fr = next(t for _, t, l in sample if l == "fr" and len(t) > 400)
+    italian = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita; quanto a dir qual era e cosa dura " * 3
+    odd = frame(spark, [doc(1, fr, "fr"), doc(2, fr, "en"), doc(3, fr, "xx"), doc(4, fr, None), doc(5, "Les.", "en"), doc(6, "ZQX9#~" * 40, "en"), doc(7, fr + "漢字" * 800, "fr")])
+    assert {r.doc_id for r in language_id.identify(odd, model).collect() if r.accepted} == {1, 3, 4, 5} == {r.doc_id for r in language_id.keep_identified(odd, model).collect()}
+    assert {r.doc_id for r in language_id.identify(odd.drop("lang"), model).collect() if r.accepted} == {1, 2, 3, 4, 5}
+    assert [r.bits_per_byte > 3 for r in language_id.identify(frame(spark, [doc(1, italian)]), model).collect()] == [True]
+    long = language_id.identify(frame(spark, [doc(1, fr * 3000, "fr")]), model).first()
+    assert long.accepted and long.language == "fr"
     none = language_id.train(no_docs(spark))
     assert [(r.language, r.accepted) for r in language_id.identify(docs, none).collect()] == [(None, True), (None, True), (None, False), (None, False), (None, True)]
     assert language_id.identify(no_docs(spark), none).count() == 0

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of its stages, on a small corpus."""
 
+import math
 import random
 from collections import defaultdict
 from itertools import combinations
@@ -14,8 +15,15 @@ from tests.llm.test_corpus import coding, components, drain, leaks, ppm_bits
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(data, items, model_texts):
-    en = [(d, t) for d, t in data if t and min(ppm_bits(model_texts, 3, 4, t.encode()).values()) <= language_id.REJECT_BITS * len(t.encode())]
+def brute(data, items, model_texts, lang):
+    even = math.log2(len({b for ts in model_texts.values() for t in ts for b in t}))
+    en = []
+    for d, t in data:
+        if t:
+            bits = ppm_bits(model_texts, 3, 4, t.encode())
+            least = min(bits.values())
+            if least <= even * len(t.encode()) + language_id.SLACK_BITS and bits.get(lang[d], least) - least <= language_id.LABEL_BITS:
+                en.append((d, t))
     gone = drain(en)
     lines = []
     for d, t in en:
@@ -53,7 +61,8 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((x.doc_id, x.token_ids) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
     samples = language_id.training_sample(docs, language_id.TRAIN_DOCS)
-    assert got == brute(data, items, samples)
+    lang = {x.doc_id: x.lang for x in docs.collect()}
+    assert got == brute(data, items, samples, lang)
     kept = {d for d, _ in got}
     assert not kept & {100, 101, 110, 130, 131, 140, 141, 142} and {0, 1, 7, 59, 120, 125} <= kept
 
