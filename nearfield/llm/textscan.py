@@ -17,8 +17,11 @@ _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset, one of our own (single machine)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a folder of this machine serves a local master; on a
+    cluster it would silently split a table over machines, so that is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return (named or "file:///tmp/nearfield-shared").rstrip("/")
 
 

@@ -84,6 +84,23 @@ def sample():
     return duckdb.sql("select doc_id, text, lang from '/root/testdata/sf0.001/documents.parquet' order by doc_id").fetchall()
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Session:
+        def __init__(self, master, named):
+            self.sparkContext = self
+            self.master, self.conf, self.named = master, self, named
+
+        def get(self, key, default):
+            return self.named
+
+        def getCheckpointDir(self):
+            return None
+
+    assert textscan.shared_dir(Session("yarn", "hdfs:///x/")) == "hdfs:///x" and textscan.shared_dir(Session("local[4]", None)).startswith("file:")
+    with pytest.raises(ValueError, match="checkpoint"):
+        textscan.shared_dir(Session("yarn", None))
+
+
 # --- 1 token counts
 
 
