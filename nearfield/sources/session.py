@@ -22,10 +22,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under the folder named by spark.checkpoint.dir, which all executors share; only where that is unset, one
-    of our own (single machine). It is deleted when the application ends."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/nearfield-shared"
-    root = f"{named.rstrip('/')}/nearfield-{spark.sparkContext.applicationId}"
+    """A fresh path under the folder named by spark.checkpoint.dir, which all executors share. Where that is unset a folder of this
+    machine serves a local master and no other. It is deleted when the application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    root = f"{(named or 'file:///tmp/nearfield-shared').rstrip('/')}/nearfield-{spark.sparkContext.applicationId}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return f"{root}/{label}-{uuid.uuid4().hex}"
