@@ -1,8 +1,7 @@
-"""Layered graph index, built and searched shard by shard."""
+"""Layered graph index: built shard by shard, a shard kept as one row, walked for many queries at once."""
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -19,204 +18,396 @@ SEED = 0x6D2B79F5
 MAX_LEVEL = 30
 #: What a task holds at once.
 SHARD_ROWS = 50_000
+#: Candidates that a walk expands in one step.
+WIDTH = 8
+#: Queries that are walked together, and that meet a shard as one row beyond the broadcast limit.
+WALK_ROWS, BLOCK_ROWS = 128, 4096
+PACKED = "n int, m int, dim int, vectors binary, levels binary, base binary, upper binary"
 
 
 class Graph:
-    """A navigable small-world graph over the rows of a matrix, level by level; distances are smaller for closer."""
+    """A navigable small-world graph over the rows of a matrix, level by level; distances are smaller for closer.
 
-    def __init__(self, dimension: int, metric: str = "dot", m: int = M, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED):
+    Layer 0 is an array of 2m neighbours a row, -1 where there are fewer; the few rows with upper layers have lists. Rows of
+    float32 are walked in float32; scores are of doubles."""
+
+    def __init__(self, dimension: int, metric: str = "dot", m: int = M, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED, dtype: type = np.float64):
         self.metric, self.m = metric, max(2, m)
         self.ef_construction = max(self.m, ef_construction)
         self.draw = mulberry32(seed)
-        self.x = np.zeros((0, dimension))
-        self.links: list[list[list[int]]] = []  # by row, by level
+        self.x = np.zeros((0, dimension), dtype)
+        self.base = np.zeros((0, 2 * self.m), np.int32)
+        self.upper: list[list[list[int]]] = []  # by row, by level from 1 on
         self.entry, self.top = -1, -1
+        self._stamp, self._now = np.zeros(0, np.int64), 0
 
     def __len__(self) -> int:
-        return len(self.links)
+        return len(self.upper)
 
     def _level(self) -> int:
         return min(int(-math.log(1 - self.draw()) / math.log(self.m)), MAX_LEVEL)
 
-    def distances(self, q: np.ndarray, rows: list[int]) -> list[float]:
+    def distances(self, q: np.ndarray, rows) -> np.ndarray:
         y = self.x[rows]
-        return (((y - q) ** 2).sum(1) if self.metric == "l2" else -(y @ q)).tolist()
+        return ((y - q) ** 2).sum(1) if self.metric == "l2" else -(y @ q)
+
+    def near(self, row: int, level: int) -> list[int]:
+        if level:
+            return self.upper[row][level - 1] if level <= len(self.upper[row]) else []
+        b = self.base[row]
+        return b[b >= 0].tolist()
+
+    def _link(self, row: int, level: int, to: list[int]) -> None:
+        if level:
+            self.upper[row][level - 1] = to
+        else:
+            self.base[row] = -1
+            self.base[row, : len(to)] = to
 
     def append(self, vectors: np.ndarray) -> None:
         """Inserts rows one after the other; what was built stays."""
-        first = len(self)
-        self.x = np.concatenate([self.x, np.asarray(vectors, np.float64)])
+        first, new = len(self), np.asarray(vectors, self.x.dtype)
+        self.x = np.concatenate([self.x, new])
+        self.base = np.concatenate([self.base, np.full((len(new), 2 * self.m), -1, np.int32)])
+        self._stamp = np.concatenate([self._stamp, np.zeros(len(new), np.int64)])
         for row in range(first, len(self.x)):
             self._insert(row)
 
     def _descend(self, q: np.ndarray, at: int, d: float, high: int, low: int) -> tuple[int, float]:
         for level in range(high, low - 1, -1):
-            while True:
-                near = self.links[at][level]
-                if not near:
-                    break
+            while near := self.near(at, level):
                 ds = self.distances(q, near)
-                i = min(range(len(ds)), key=ds.__getitem__)
+                i = int(ds.argmin())
                 if ds[i] >= d:
                     break
-                at, d = near[i], ds[i]
+                at, d = near[i], float(ds[i])
         return at, d
 
-    def _beam(self, q: np.ndarray, starts: list[tuple[float, int]], ef: int, level: int) -> list[tuple[float, int]]:
-        seen = {i for _, i in starts}
-        todo = list(starts)
-        heapq.heapify(todo)
-        kept = [(-d, -i) for d, i in starts]
-        heapq.heapify(kept)
-        while len(kept) > ef:
-            heapq.heappop(kept)
-        while todo:
-            d, at = heapq.heappop(todo)
-            if d > -kept[0][0] and len(kept) >= ef:
-                break
-            fresh = [i for i in self.links[at][level] if i not in seen] if level < len(self.links[at]) else []
-            if not fresh:
+    def _beam(self, q: np.ndarray, at: np.ndarray, d: np.ndarray, ef: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ef nearest rows that a walk over the level from `at` meets, nearest first."""
+        self._now += 1
+        stamp, now = self._stamp, self._now
+        stamp[at] = now
+        order = np.argsort(d, kind="stable")[:ef]
+        at, d, done = at[order], d[order], np.zeros(len(order), bool)
+        while True:
+            todo = np.flatnonzero(~done)[:WIDTH]
+            if not len(todo):
+                return at, d
+            done[todo] = True
+            near = np.unique(self.base[at[todo]]) if level == 0 else np.unique(np.array([k for r in at[todo].tolist() for k in self.near(r, level)], np.int64))
+            near = near[(near >= 0) & (stamp[near] != now)]
+            if not len(near):
                 continue
-            seen.update(fresh)
-            for e, i in zip(self.distances(q, fresh), fresh):
-                if len(kept) < ef:
-                    heapq.heappush(kept, (-e, -i))
-                    heapq.heappush(todo, (e, i))
-                elif e < -kept[0][0]:
-                    heapq.heapreplace(kept, (-e, -i))
-                    heapq.heappush(todo, (e, i))
-        return sorted((-d, -i) for d, i in kept)
-
-    def _select(self, ranked_: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
+            stamp[near] = now
+            e = self.distances(q, near)
+            if len(at) >= ef:
+                better = e < d[-1]
+                near, e = near[better], e[better]
+            at, d, done = np.r_[at, near], np.r_[d, e], np.r_[done, np.zeros(len(near), bool)]
+            order = np.argsort(d, kind="stable")[:ef]
+            at, d, done = at[order], d[order], done[order]
+
+    def _select(self, at: np.ndarray, d: np.ndarray, most: int) -> np.ndarray:
         """Of candidates by rising distance those that are no closer to one already kept than to the centre."""
-        kept: list[tuple[float, int]] = []
-        for d, i in ranked_:
-            if len(kept) == most:
-                break
-            if not kept or min(self.distances(self.x[i], [k for _, k in kept])) >= d:
-                kept.append((d, i))
-        return kept
+        y = self.x[at]
+        if self.metric == "l2":
+            s = (y**2).sum(1)
+            apart = s[:, None] + s[None] - 2 * (y @ y.T)
+        else:
+            apart = -(y @ y.T)
+        apart, limit, kept = apart.tolist(), d.tolist(), []
+        for i, row in enumerate(apart):
+            if all(row[k] >= limit[i] for k in kept):
+                kept.append(i)
+                if len(kept) == most:
+                    break
+        return at[kept]
 
     def _insert(self, row: int) -> None:
         level, q = self._level(), self.x[row]
-        self.links.append([[] for _ in range(level + 1)])
+        self.upper.append([[] for _ in range(level)])
         if self.entry < 0:
             self.entry, self.top = row, level
             return
-        at, d = self._descend(q, self.entry, self.distances(q, [self.entry])[0], self.top, level + 1)
+        at, d = self._descend(q, self.entry, float(self.distances(q, [self.entry])[0]), self.top, level + 1)
+        start, ds = np.array([at]), np.array([d], self.x.dtype)
         for lc in range(min(level, self.top), -1, -1):
-            found = self._beam(q, [(d, at)], self.ef_construction, lc)
+            found, ds = self._beam(q, start, ds, self.ef_construction, lc)
             cap = 2 * self.m if lc == 0 else self.m
-            chosen = self._select(found, self.m)
-            self.links[row][lc] = [i for _, i in chosen]
-            for e, i in chosen:
-                theirs = self.links[i][lc]
-                if len(theirs) < cap:
-                    theirs.append(row)
-                else:
-                    every = sorted([*zip(self.distances(self.x[i], theirs), theirs), (e, row)], key=lambda t: t[0])
-                    self.links[i][lc] = [k for _, k in self._select(every, cap)]
-            d, at = found[0]
+            chosen = self._select(found[: 4 * self.m], ds[: 4 * self.m], self.m).tolist()
+            self._link(row, lc, chosen)
+            for i in chosen:
+                theirs = [*self.near(i, lc), row]
+                if len(theirs) > cap:
+                    every = np.array(theirs)
+                    e = self.distances(self.x[i], every)
+                    order = np.argsort(e, kind="stable")
+                    theirs = self._select(every[order], e[order], cap).tolist()
+                self._link(i, lc, theirs)
+            start, ds = found[:1], ds[:1]
         if level > self.top:
             self.entry, self.top = row, level
 
+    # --- walks for many queries at once
+
+    def _far(self, q: np.ndarray, who: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        y = self.x[rows]
+        return ((y - q[who]) ** 2).sum(1) if self.metric == "l2" else -np.einsum("ij,ij->i", y, q[who])
+
+    def _enter(self, q: np.ndarray, entry_mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """Starting rows of layer 0 and their distances, for each query."""
+        n = len(q)
+        every = np.arange(n)
+        if entry_mode == "spread":
+            rows = np.array(list(dict.fromkeys([self.entry, *(i * len(self) // 7 for i in range(7))])))
+            at = np.tile(rows, (n, 1))
+            return at, np.stack([self._far(q, every, at[:, j]) for j in range(at.shape[1])], 1)
+        at = np.full(n, self.entry)
+        d = self._far(q, every, at)
+        for level in range(self.top, 0, -1):
+            moved = every
+            while len(moved):
+                near = np.full((len(moved), self.m), -1)
+                for i, r in enumerate(at[moved].tolist()):
+                    some = self.near(r, level)
+                    near[i, : len(some)] = some
+                who, where = np.nonzero(near >= 0)
+                e = np.full(near.shape, np.inf)
+                e[who, where] = self._far(q, moved[who], near[who, where])
+                best = e.argmin(1)
+                least = e[np.arange(len(moved)), best]
+                better = least < d[moved]
+                moved, least, to = moved[better], least[better], near[np.arange(len(best)), best][better]
+                at[moved], d[moved] = to, least
+        return at[:, None], d[:, None]
+
+    def _walk(self, q: np.ndarray, ef: int, entry_mode: str) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, distances) of each query's ef nearest that a walk meets, nearest first; -1 where there are fewer."""
+        n, size = len(q), len(self)
+        at, d = self._enter(q, entry_mode)
+        seen = np.zeros((n, size), bool)
+        seen[np.arange(n)[:, None], at] = True
+        pad = ef - at.shape[1]
+        order = np.argsort(d, 1, kind="stable")
+        at, d = np.take_along_axis(at, order, 1), np.take_along_axis(d, order, 1)
+        at, d = np.pad(at, ((0, 0), (0, max(0, pad))), constant_values=-1)[:, :ef], np.pad(d.astype(np.float64), ((0, 0), (0, max(0, pad))), constant_values=np.inf)[:, :ef]
+        done = at < 0
+        live = np.arange(n)
+        while True:
+            live = live[~done[live].all(1)]
+            if not len(live):
+                return at, d
+            open_ = ~done[live]
+            pick = open_ & (np.cumsum(open_, 1) <= WIDTH // 2)
+            who, where = np.nonzero(pick)
+            done[live[who], where] = True
+            near = self.base[at[live[who], where]]
+            key = (who[:, None] * size + near)[near >= 0]
+            key = np.unique(key[~seen.ravel()[live[key // size] * size + key % size]])
+            who, rows = key // size, key % size
+            seen[live[who], rows] = True
+            e = self._far(q, live[who], rows)
+            better = e < d[live[who], -1]
+            who, rows, e = who[better], rows[better], e[better]
+            if not len(who):
+                continue
+            # new ones beside the old, row by row
+            first = np.searchsorted(who, np.arange(len(live) + 1))
+            most = int(np.diff(first).max())
+            col = ef + np.arange(len(who)) - first[who]
+            a, b, c = np.full((len(live), ef + most), -1), np.full((len(live), ef + most), np.inf), np.ones((len(live), ef + most), bool)
+            a[:, :ef], b[:, :ef], c[:, :ef] = at[live], d[live], done[live]
+            a[who, col], b[who, col], c[who, col] = rows, e, False
+            order = np.argsort(b, 1, kind="stable")[:, :ef]
+            at[live], d[live], done[live] = np.take_along_axis(a, order, 1), np.take_along_axis(b, order, 1), np.take_along_axis(c, order, 1)
+
+    def search_many(self, q: np.ndarray, k: int, ef: int = EF_SEARCH, entry_mode: str = "descend", may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of up to k rows for each query, best first. may: which rows can be hits; a walk then looks for more
+        than k, twice as many until enough can be or the graph is exhausted."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if self.entry < 0 or k <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        enough = min(k, len(self) if may is None else int(may.sum()))
+        for a in range(0, len(q), WALK_ROWS):
+            todo, want = np.arange(a, min(a + WALK_ROWS, len(q))), max(ef, k)
+            while len(todo):
+                part = np.asarray(q[todo], self.x.dtype)
+                at, _ = self._walk(part, want, entry_mode)
+                good = at >= 0 if may is None else (at >= 0) & may[np.maximum(at, 0)]
+                good &= np.cumsum(good, 1) <= k
+                ready = np.full(len(todo), True) if may is None or want >= len(self) else good.sum(1) >= enough
+                who, where = np.nonzero(good & ready[:, None])
+                rows = at[who, where]
+                x, y = self.x[rows].astype(np.float64), np.asarray(q[todo], np.float64)[who]
+                out.append((todo[who], rows, -((x - y) ** 2).sum(1) if self.metric == "l2" else np.einsum("ij,ij->i", x, y)))
+                todo, want = todo[~ready], min(2 * want, len(self))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
     def search(self, q: np.ndarray, k: int, ef: int = EF_SEARCH, entry_mode: str = "descend") -> list[tuple[int, float]]:
         """Up to k (row, score), best first. entry_mode "spread" starts layer 0 from the entry and seven rows evenly
         spread, instead of descending the upper layers."""
-        if self.entry < 0 or k <= 0:
-            return []
-        q, start = np.asarray(q, np.float64), self.entry
-        d = self.distances(q, [start])[0]
-        if entry_mode == "spread":
-            rows = list(dict.fromkeys([start, *(i * len(self) // 7 for i in range(7))]))
-            starts = list(zip(self.distances(q, rows), rows))
-        else:
-            at, d = self._descend(q, start, d, self.top, 1)
-            starts = [(d, at)]
-        return [(i, -e) for e, i in self._beam(q, starts, max(ef, k), 0)[:k]]
+        _, rows, score = self.search_many(np.asarray(q, np.float64)[None], k, ef, entry_mode)
+        return list(zip(rows.tolist(), score.tolist()))
+
+    # --- what is kept of a graph
 
     def state(self) -> list[list[list[int]]]:
-        return [[list(l) for l in levels] for levels in self.links]
+        return [[self.near(i, level) for level in range(len(up) + 1)] for i, up in enumerate(self.upper)]
 
     @classmethod
     def restore(cls, x: np.ndarray, links: list[list[list[int]]], metric: str = "dot", m: int = M, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED) -> Graph:
         """The graph from its links, ready to append as if it had never been away: one level is drawn for each row."""
-        g = cls(x.shape[1], metric, m, ef_construction, seed)
-        g.x, g.links = np.asarray(x, np.float64), [[list(l) for l in levels] for levels in links]
-        for row, levels in enumerate(g.links):
-            g.draw()
-            if len(levels) - 1 > g.top:
-                g.entry, g.top = row, len(levels) - 1
+        x = np.asarray(x)
+        g = cls(x.shape[1], metric, m, ef_construction, seed, x.dtype.type if x.dtype in (np.float32, np.float64) else np.float64)
+        g.x, g.upper = x.astype(g.x.dtype), [[list(l) for l in levels[1:]] for levels in links]
+        g.base = np.full((len(x), 2 * g.m), -1, np.int32)
+        for row, levels in enumerate(links):
+            g.base[row, : len(levels[0])] = levels[0]
+        g._resume()
+        return g
+
+    def _resume(self) -> None:
+        self._stamp = np.zeros(len(self.x), np.int64)
+        for row, up in enumerate(self.upper):
+            self.draw()
+            if len(up) > self.top:
+                self.entry, self.top = row, len(up)
+
+    def pack(self) -> dict:
+        """The values of PACKED."""
+        levels = np.array([len(u) for u in self.upper], np.int32)
+        upper = np.full((int(levels.sum()), self.m), -1, np.int32)
+        for i, near in enumerate(l for u in self.upper for l in u):
+            upper[i, : len(near)] = near
+        parts = (self.x, levels, self.base, upper)
+        return {"n": len(self), "m": self.m, "dim": self.x.shape[1]} | dict(zip(("vectors", "levels", "base", "upper"), (np.ascontiguousarray(p).tobytes() for p in parts)))
+
+    @classmethod
+    def unpack(cls, row: dict, metric: str, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED) -> Graph:
+        n, m, dim = row["n"], row["m"], row["dim"]
+        dtype = np.float32 if len(row["vectors"]) == 4 * n * dim else np.float64
+        g = cls(dim, metric, m, ef_construction, seed, dtype)
+        g.x = np.frombuffer(row["vectors"], dtype).reshape(n, dim)
+        g.base = np.frombuffer(row["base"], np.int32).reshape(n, 2 * m).copy()
+        upper = [[k for k in near if k >= 0] for near in np.frombuffer(row["upper"], np.int32).reshape(-1, m).tolist()]
+        i = 0
+        for level in np.frombuffer(row["levels"], np.int32).tolist():
+            g.upper.append(upper[i : i + level])
+            i += level
+        g._resume()
         return g
 
 
-def build(vectors: DataFrame, metric: str = "dot", shards: int = 1, id_col: str = "id", vector_col: str = "vector", m: int = M, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED) -> DataFrame:
-    """(shard, pos, id, vector, links): one graph for each shard of the rows by the hash of their id, rows inserted by id.
+def packed_table(shard: int, ids: pa.Array, g: Graph, id_col: str) -> pa.Table:
+    row = g.pack()
+    kinds = {"n": pa.int32(), "m": pa.int32(), "dim": pa.int32()}
+    return pa.table(
+        {"shard": pa.array([shard], pa.int32()), id_col: pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)}
+        | {k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()}
+    )
+
+
+def packed_schema(id_col: str, kind: str) -> str:
+    return f"shard int, {id_col} array<{kind}>, {PACKED}"
 
-    links[level] are positions within the shard. Give as many shards as keep each at SHARD_ROWS or fewer; every shard answers every
-    query, so recall does not fall with their number."""
+
+def build(vectors: DataFrame, metric: str = "dot", shards: int = 1, id_col: str = "id", vector_col: str = "vector", m: int = M, ef_construction: int = EF_CONSTRUCTION, seed: int = SEED, first_shard: int = 0) -> DataFrame:
+    """(shard, ids, and the columns of PACKED): one graph for each shard of the rows by the hash of their id, rows inserted by id;
+    a shard is one row of packed arrays.
+
+    Give as many shards as keep each at SHARD_ROWS or fewer; every shard answers every query, so recall does not fall with
+    their number. Shards are numbered from first_shard."""
     kind = vectors.schema[id_col].dataType.simpleString()
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         x = matrix(table.column(vector_col))
         order = np.argsort(np.asarray(table.column(id_col).to_numpy()), kind="stable")
-        g = Graph(x.shape[1], metric, m, ef_construction, seed)
+        g = Graph(x.shape[1], metric, m, ef_construction, seed, np.float32 if single else np.float64)
         g.append(x[order])
-        return pa.table(
-            {
-                "shard": pa.array([key[0].as_py()] * len(x), pa.int32()),
-                "pos": pa.array(np.arange(len(x), dtype=np.int32)),
-                id_col: table.column(id_col).combine_chunks().take(pa.array(order)),
-                "vector": pa.array(list(x[order]), pa.list_(pa.float64())),
-                "links": pa.array(g.links, pa.list_(pa.list_(pa.int32()))),
-            }
-        )
+        return packed_table(key[0].as_py(), table.column(id_col).combine_chunks().take(pa.array(order)), g, id_col)
 
-    sharded = vectors.select(F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("shard"), id_col, vector_col)
-    return sharded.groupBy("shard").applyInArrow(run, f"shard int, pos int, {id_col} {kind}, vector array<double>, links array<array<int>>")
+    sharded = vectors.select((F.pmod(F.xxhash64(id_col), F.lit(shards)) + first_shard).cast("int").alias("shard"), id_col, vector_col)
+    return sharded.groupBy("shard").applyInArrow(run, packed_schema(id_col, kind))
 
 
 def edges(graph: DataFrame, id_col: str = "id") -> DataFrame:
     """(shard, level, row, neighbours): the graph as an edge table."""
-    return graph.select("shard", "pos", F.posexplode("links").alias("level", "neighbours")).select("shard", "level", F.col("pos").alias("row"), "neighbours")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                links = Graph.unpack(row, "dot").state()
+                flat = [(row["shard"], level, pos, near) for pos, levels in enumerate(links) for level, near in enumerate(levels)]
+                c = list(zip(*flat)) or [()] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.list_(pa.int32()))], ["shard", "level", "row", "neighbours"]
+                )
+
+    return graph.select("shard", *(x.split(" ")[0] for x in PACKED.split(", "))).mapInArrow(run, "shard int, level int, row int, neighbours array<int>")
+
+
+def positions(graph: DataFrame, id_col: str = "id") -> DataFrame:
+    """(shard, nf_row, id): which row of its shard each id is."""
+    return graph.select("shard", F.posexplode(id_col).alias("nf_row", id_col))
 
-def search(queries: DataFrame, graph: DataFrame, k: int, ef: int = EF_SEARCH, metric: str = "dot", id_col: str = "id", m: int = M, entry_mode: str = "descend", keep=None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+
+def search(
+    queries: DataFrame, graph: DataFrame, k: int, ef: int = EF_SEARCH, metric: str = "dot", id_col: str = "id", entry_mode: str = "descend",
+    keep: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """(q_id, id, score, rank): each shard's graph walked for every query, the k best of all shards. ef is at least k.
 
-    keep: (id) of the rows that may be hits; a walk then looks for more than k, twice as many until enough are kept or the
-    shard is exhausted. The queries go to every task (ValueError beyond broadcast_bytes: split them)."""
-    kind, q_kind = graph.schema[id_col].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
-    if (size := side_bytes(queries, "q")) > broadcast_bytes:
-        raise ValueError(f"{size} bytes of queries; split them into parts of {broadcast_bytes}")
-    held = queries.select("q_id", F.col("q").cast("array<double>").alias("q")).toArrow()
-    sent = queries.sparkSession.sparkContext.broadcast((held.column("q_id").combine_chunks(), matrix(held.column("q"))))
+    A task reads packed shards and walks the queries together, WALK_ROWS at a time; nothing is shuffled but the k hits of each
+    query and shard. Queries of more than broadcast_bytes meet the shards in blocks of BLOCK_ROWS. keep: (id) of the rows that
+    may be hits; see Graph.search_many()."""
+    kind, q_kind = graph.schema[id_col].dataType.elementType.simpleString(), queries.schema["q_id"].dataType.simpleString()
+    columns = ["shard", id_col, *(x.split(" ")[0] for x in PACKED.split(", "))]
+    graph = graph.select(*columns)
     if keep is not None:
-        graph = graph.join(keep.select(id_col).distinct().withColumn("nf_keep", F.lit(True)), id_col, "left")
+        some = positions(graph, id_col).join(keep.select(id_col).distinct(), id_col).groupBy("shard").agg(F.collect_list("nf_row").alias("nf_may"))
+        graph = graph.join(some, "shard")  # a shard without such a row has no hit
     else:
-        graph = graph.withColumn("nf_keep", F.lit(True))
+        graph = graph.withColumn("nf_may", F.lit(None).cast("array<int>"))
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("pos")
-        q_ids, q = sent.value
-        g = Graph.restore(matrix(table.column("vector")), table.column("links").to_pylist(), metric, m)
-        may = np.array([bool(v) for v in table.column("nf_keep").to_pylist()])
-        who, where, score = [], [], []
-        for i in range(len(q)):
-            want = k
-            while True:
-                found = g.search(q[i], want, max(ef, want), entry_mode)
-                good = [h for h in found if may[h[0]]][:k]
-                if len(good) >= min(k, int(may.sum())) or want >= len(g):
-                    break
-                want = min(2 * want, len(g))
-            for row, s in good:
-                who.append(i)
-                where.append(row)
-                score.append(s)
-        return pa.table(
-            {"q_id": q_ids.take(pa.array(who, pa.int64())), id_col: table.column(id_col).combine_chunks().take(pa.array(where, pa.int64())), "score": pa.array(score, pa.float64())}
-        )
-
-    hits = graph.select("shard", "pos", id_col, "vector", "links", "nf_keep").groupBy("shard").applyInArrow(run, f"q_id {q_kind}, {id_col} {kind}, score double")
-    return ranked(hits, k, "q_id", id_col)
+    def hits(row: dict, ids: pa.Array, q_ids: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        may = None
+        if row["nf_may"] is not None:
+            may = np.zeros(row["n"], bool)
+            may[row["nf_may"]] = True
+        who, where, score = Graph.unpack(row, metric).search_many(q, k, ef, entry_mode, may)
+        return pa.RecordBatch.from_arrays([q_ids.take(pa.array(who)), ids.take(pa.array(where)), pa.array(score)], ["q_id", id_col, "score"])
+
+    def packed(b: pa.RecordBatch) -> Iterator[tuple[dict, pa.Array]]:
+        named = {n: b.column(i) for i, n in enumerate([*columns, "nf_may"])}
+        for i in range(b.num_rows):
+            row = {n: named[n][i].as_py() for n in ("n", "m", "dim", "levels", "upper", "nf_may")}
+            yield row | {n: named[n][i].as_buffer() for n in ("vectors", "base")}, named[id_col][i].values
+
+    if side_bytes(queries, "q") <= broadcast_bytes:
+        held = queries.select("q_id", F.col("q").cast("array<double>").alias("q")).toArrow()
+        sent = queries.sparkSession.sparkContext.broadcast((held.column("q_id").combine_chunks(), matrix(held.column("q"))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            for b in batches:
+                for row, ids in packed(b) if len(q) else ():
+                    yield hits(row, ids, q_ids, q)
+
+        found = graph.mapInArrow(run, f"q_id {q_kind}, {id_col} {kind}, score double")
+    else:
+        from nearfield.operators.knn import _blocks
+
+        blocks = _blocks(queries.withColumnRenamed("q", "nf_q"), "q_id", "nf_q", "l", BLOCK_ROWS)
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = len(columns) + 1
+            for b in batches:
+                for i, (row, ids) in enumerate(packed(b)):
+                    q_ids = b.column(n)[i].values
+                    yield hits(row, ids, q_ids, np.frombuffer(b.column(n + 1)[i].as_buffer(), np.float64).reshape(len(q_ids), -1))
+
+        found = graph.crossJoin(blocks).mapInArrow(meet, f"q_id {q_kind}, {id_col} {kind}, score double")
+    return ranked(found, k, "q_id", id_col)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -185,25 +186,70 @@ def probe(queries: DataFrame, centroids: np.ndarray, nprobe: int) -> DataFrame:
     return knn_join(queries, table, nprobe, "dot", id_col="cluster", vector_col="centroid")
 
 
-def search(queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int, id_col: str = "id", vector_col: str = "vector", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+class Payload(NamedTuple):
+    """How the rows of the lists are kept: their columns, these as a matrix, and a block of them as bytes and back."""
+
+    columns: list[str]
+    matrix: Callable[[list[pa.Array]], np.ndarray]
+    pack: Callable[[list[pa.Array]], bytes]
+    unpack: Callable[[bytes, int], np.ndarray]
+
+
+def vectors_payload(vector_col: str = "vector") -> Payload:
+    return Payload([vector_col], lambda c: matrix(c[0]), lambda c: matrix(c[0]).tobytes(), lambda b, n: np.frombuffer(b, np.float64).reshape(n, -1))
+
+
+def _cluster_blocks(df: DataFrame, id_col: str, payload: Payload, name: str, rows: int) -> DataFrame:
+    """(cluster, <name>_ids, <name>_block): rows of one cluster that lie together in a batch, packed."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cluster = np.asarray(b.column(0))
+            for c in np.unique(cluster).tolist():
+                mine = np.flatnonzero(cluster == c)
+                for a in range(0, len(mine), rows):
+                    part = b.take(pa.array(mine[a : a + rows]))
+                    ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(1))
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), ids, pa.array([payload.pack(part.columns[2:])], pa.binary())], ["cluster", f"{name}_ids", f"{name}_block"])
+
+    return df.select("cluster", id_col, *payload.columns).mapInArrow(run, f"cluster int, {name}_ids array<{kind}>, {name}_block binary")
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    """Numbers in the order of the ids."""
+    keys = np.asarray(ids.to_numpy(zero_copy_only=False))
+    return keys if keys.dtype != object else np.argsort(np.argsort(keys.astype(str), kind="stable"), kind="stable")
+
+
+def search(
+    queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int, nprobe: int, id_col: str = "id", vector_col: str = "vector",
+    broadcast_bytes: int = BROADCAST_BYTES, payload: Payload | None = None,
+) -> DataFrame:
     """(q_id, id, score, rank): the k best by dot product of the rows in each query's nprobe nearest clusters; fewer than k if these
-    hold fewer.
+    hold fewer. payload: what the lists hold, by default vectors in vector_col.
 
     With a query side of at most broadcast_bytes the tasks get each cluster's queries and multiply list by list, and only
-    probed partitions are read; else probes and lists meet on the cluster. nprobe = all clusters is exact."""
+    probed partitions are read; else blocks of each cluster's queries meet blocks of its rows. nprobe = all clusters is exact."""
     nprobe = max(1, min(nprobe, len(centroids)))
+    held_by = payload or vectors_payload(vector_col)
     kind, q_kind = lists.schema[id_col].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
-    probes = probe(queries, centroids, nprobe)
+    schema = f"q_id {q_kind}, {id_col} {kind}, score double"
     if side_bytes(queries, "q") > broadcast_bytes:
-        pairs = probes.select("q_id", "cluster").join(queries.select("q_id", "q"), "q_id").join(lists.select("cluster", id_col, vector_col), "cluster")
+        probes = probe(queries, centroids, nprobe).select("q_id", "cluster").join(queries.select("q_id", F.col("q").cast("array<double>").alias("q")), "q_id")
+        asked = _cluster_blocks(probes.repartition("cluster").sortWithinPartitions("cluster"), "q_id", vectors_payload("q"), "q", 1024)
+        rows = _cluster_blocks(lists, id_col, held_by, "x", 8192)
 
-        def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                s = np.einsum("ij,ij->i", matrix(b.column(2)), matrix(b.column(3)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], ["q_id", id_col, "score"])
-
-        scored = pairs.select("q_id", id_col, vector_col, F.col("q").cast("array<double>")).mapInArrow(run_pairs, f"q_id {q_kind}, {id_col} {kind}, score double")
-        return ranked(scored, k, "q_id", id_col)
+                for i in range(b.num_rows):
+                    q_ids, ids = b.column(0)[i].values, b.column(2)[i].values
+                    q = np.frombuffer(b.column(1)[i].as_buffer(), np.float64).reshape(len(q_ids), -1)
+                    s = q @ held_by.unpack(b.column(3)[i].as_py(), len(ids)).T
+                    who, where = top_of(s, _order(ids), k)
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(who)), ids.take(pa.array(where)), pa.array(s[who, where])], ["q_id", id_col, "score"])
+
+        return ranked(asked.join(rows, "cluster").select("q_ids", "q_block", "x_ids", "x_block").mapInArrow(meet, schema), k, "q_id", id_col)
     held = queries.select("q_id", F.col("q").cast("array<double>").alias("q")).toArrow()
     q_ids = held.column("q_id").combine_chunks()
     q = matrix(held.column("q"))
@@ -216,20 +262,17 @@ def search(queries: DataFrame, lists: DataFrame, centroids: np.ndarray, k: int,
         ids, m, by = sent.value
         for b in batches:
             cluster = np.asarray(b.column(0))
-            x = matrix(b.column(2))
             for c in np.unique(cluster).tolist():
                 rows, mine = np.flatnonzero(cluster == c), by.get(c)
                 if mine is None:
                     continue
-                s = m[mine] @ x[rows].T
-                own = b.column(1).take(pa.array(rows))
-                keys = np.asarray(own.to_numpy(zero_copy_only=False))
-                keys = keys if keys.dtype != object else np.argsort(np.argsort(keys.astype(str), kind="stable"), kind="stable")
-                i, j = top_of(s, keys, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[i])), own.take(pa.array(j)), pa.array(s[i, j])], ["q_id", id_col, "score"])
+                part = b if len(rows) == b.num_rows else b.take(pa.array(rows))
+                s = m[mine] @ held_by.matrix(part.columns[2:]).T
+                i, j = top_of(s, _order(part.column(1)), k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine[i])), part.column(1).take(pa.array(j)), pa.array(s[i, j])], ["q_id", id_col, "score"])
 
     probed = lists.where(F.col("cluster").isin(sorted(by_cluster))) if by_cluster else lists.where("false")
-    return ranked(probed.select("cluster", id_col, vector_col).mapInArrow(run, f"q_id {q_kind}, {id_col} {kind}, score double"), k, "q_id", id_col)
+    return ranked(probed.select("cluster", id_col, *held_by.columns).mapInArrow(run, schema), k, "q_id", id_col)
 
 
 def recall_curve(queries: DataFrame, assigned: DataFrame, centroids: np.ndarray, k: int = TUNE_K, id_col: str = "id", vector_col: str = "vector") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.functions import quant
+from nearfield.operators import ivf
 from nearfield.operators.knn import BROADCAST_BYTES, knn_join, matrix, ranked, side_bytes, top_of
 
 
@@ -30,9 +31,48 @@ def encode(vectors: DataFrame, rotator: quant.Rotator, bits: int, id_col: str =
     return vectors.select(id_col, vector_col).mapInArrow(run, f"{id_col} {kind}, codes binary, scale double")
 
 
+def decode_arrays(codes: pa.Array, scale: pa.Array, bits: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(codes.to_pylist()), np.uint8).reshape(len(codes), -1)
+    return quant.dequantize(quant.unpack(packed, bits), np.asarray(scale), bits)
+
+
 def decode_batch(b: pa.RecordBatch, bits: int, codes: int = 1, scale: int = 2) -> np.ndarray:
-    packed = np.frombuffer(b"".join(b.column(codes).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-    return quant.dequantize(quant.unpack(packed, bits), np.asarray(b.column(scale)), bits)
+    return decode_arrays(b.column(codes), b.column(scale), bits)
+
+
+def codes_payload(bits: int) -> ivf.Payload:
+    """Inverted lists of codes and scales, decoded as they are scanned."""
+
+    def unpack(block: bytes, n: int) -> np.ndarray:
+        packed = np.frombuffer(block, np.uint8, offset=8 * n).reshape(n, -1)
+        return quant.dequantize(quant.unpack(packed, bits), np.frombuffer(block, np.float64, n), bits)
+
+    return ivf.Payload(
+        ["codes", "scale"], lambda c: decode_arrays(c[0], c[1], bits), lambda c: np.asarray(c[1]).tobytes() + b"".join(c[0].to_pylist()), unpack
+    )
+
+
+def assign_codes(codes: DataFrame, centroids: np.ndarray, bits: int, id_col: str = "id") -> DataFrame:
+    """(id, codes, scale, cluster): each code's nearest centroid (of rotated vectors) by what it stands for."""
+    kind = codes.schema[id_col].dataType.simpleString()
+    sent = codes.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = ivf.nearest_centroid(decode_batch(b, bits), sent.value) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.astype(np.int32))], [id_col, "codes", "scale", "cluster"])
+
+    return codes.select(id_col, "codes", "scale").mapInArrow(run, f"{id_col} {kind}, codes binary, scale double, cluster int")
+
+
+def ivf_knn(
+    queries: DataFrame, lists: DataFrame, centroids: np.ndarray, vectors: DataFrame, k: int, nprobe: int, rotator: quant.Rotator, bits: int, id_col: str = "id",
+    vector_col: str = "vector", factor: int | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """k * factor candidates by the codes of the probed lists, the k best of them exactly. lists: see assign_codes()."""
+    factor = quant.RERANK_FACTOR[bits] if factor is None else factor
+    hits = ivf.search(rotated(queries, rotator), lists, centroids, k * factor, nprobe, id_col, broadcast_bytes=broadcast_bytes, payload=codes_payload(bits))
+    return hits if factor <= 1 else rerank(queries, hits, vectors, k, "dot", id_col, vector_col)
 
 
 def decode(codes: DataFrame, rotator: quant.Rotator, bits: int, id_col: str = "id") -> DataFrame:
@@ -50,18 +90,18 @@ def decode(codes: DataFrame, rotator: quant.Rotator, bits: int, id_col: str = "i
 def code_hits(queries: DataFrame, codes: DataFrame, k: int, rotator: quant.Rotator, bits: int, id_col: str = "id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(q_id, id, score, rank) by the codes alone: the full-precision rotated query against what the codes stand for."""
     if side_bytes(queries, "q") > broadcast_bytes:
-        return knn_join(_rotated(queries, rotator), decode(codes, rotator, bits, id_col), k, "dot", id_col, "rotated", broadcast_bytes=broadcast_bytes)
+        return knn_join(rotated(queries, rotator), decode(codes, rotator, bits, id_col), k, "dot", id_col, "rotated", broadcast_bytes=broadcast_bytes)
     kind, q_kind = codes.schema[id_col].dataType.simpleString(), queries.schema["q_id"].dataType.simpleString()
     held = queries.select("q_id", F.col("q").cast("array<double>").alias("q")).toArrow()
     q_ids, q = held.column("q_id").combine_chunks(), matrix(held.column("q"), rotator.dimension)
     sent = codes.sparkSession.sparkContext.broadcast((q_ids, rotator.rotate(q)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rotated = sent.value
+        ids, turned = sent.value
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            s = rotated @ decode_batch(b, bits).T
+            s = turned @ decode_batch(b, bits).T
             keys = np.asarray(b.column(0).to_numpy(zero_copy_only=False))
             keys = keys if keys.dtype != object else np.argsort(np.argsort(keys.astype(str), kind="stable"), kind="stable")
             i, j = top_of(s, keys, k)
@@ -70,7 +110,7 @@ def code_hits(queries: DataFrame, codes: DataFrame, k: int, rotator: quant.Rotat
     return ranked(codes.select(id_col, "codes", "scale").mapInArrow(run, f"q_id {q_kind}, {id_col} {kind}, score double"), k, "q_id", id_col)
 
 
-def _rotated(queries: DataFrame, rotator: quant.Rotator) -> DataFrame:
+def rotated(queries: DataFrame, rotator: quant.Rotator) -> DataFrame:
     q_kind = queries.schema["q_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

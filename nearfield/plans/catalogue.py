@@ -298,7 +298,7 @@ turned AS (SELECT vec_id, j AS i, {coordinate} AS x FROM flat JOIN rot USING (i)
 @query(f"WITH {_rotation_sql('sum(x * m)')} SELECT vec_id, i::INT AS i, round(x, 6) + 0.0 AS x FROM turned")
 def rotate_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
-    long = quantized._rotated(df, quant.Rotator(DIMENSION)).select(F.col("q_id").alias("vec_id"), F.posexplode("q").alias("i", "x"))
+    long = quantized.rotated(df, quant.Rotator(DIMENSION)).select(F.col("q_id").alias("vec_id"), F.posexplode("q").alias("i", "x"))
     return rounded(long, "x")
 
 
@@ -379,7 +379,7 @@ SELECT abs(x - greatest(-{n}, least({n}, floor(x / scale * {n} + 0.5))) * scale
 def quant_roundtrip_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far decoded vectors lie from the rotated ones: at most half a step."""
     df, r = table(spark, sf_dir, "embeddings"), quant.Rotator(DIMENSION)
-    turned = quantized._rotated(every_row(df), r).select(F.col("q_id").alias("vec_id"), F.col("q").alias("x"))
+    turned = quantized.rotated(every_row(df), r).select(F.col("q_id").alias("vec_id"), F.col("q").alias("x"))
     out = None
     for bits, level in quant.LEVELS.items():
         codes = quantized.encode(df, r, bits, "vec_id", "embedding", rounding=9)
@@ -502,7 +502,7 @@ def ivf_int8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids = ivf.train_centroids(ivf.hash_sample(base, ivf.SAMPLE_SIZE, "vec_id"), NLIST, "vec_id", "embedding")
     lists = ivf.write_lists(ivf.assign(base, centroids, "embedding"), session.scratch(spark, "lists"))
     nprobe, _ = ivf.choose_nprobe(ivf.recall_curve(every_row(lists), lists, centroids, K, "vec_id", "embedding"), TARGET_RECALL)
-    found = ivf.search(quantized._rotated(every_row(df), r), lists, centroids, K * quant.RERANK_FACTOR[8], nprobe, "vec_id", "embedding")
+    found = ivf.search(quantized.rotated(every_row(df), r), lists, centroids, K * quant.RERANK_FACTOR[8], nprobe, "vec_id", "embedding")
     return rounded(quantized.rerank(every_row(df), found, df, K, "dot", "vec_id", "embedding"), "score")
 
 

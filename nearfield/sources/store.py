@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 from typing import Any
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +88,7 @@ class VectorStore:
             raise ValueError(f"the embedder's dimension is {embedder.dimension}; the store's is {config.dimension}")
         self._state = {"version": 0, "next_row": 0, "segments": [], "tombstones": [], "live": 0}
         self._index: dict[str, Any] = {}
+        self._kept: dict[str, Any] = {"key": None, "segments": {}}
         self._last_ms: float | None = None
         held = [n for n in files.names(spark, self.root) if n.startswith("manifest-") and n.endswith(".json")]
         if auto_load and held:
@@ -96,6 +97,10 @@ class VectorStore:
                 if found["config"][name] != getattr(config, name):
                     raise ValueError(f"the stored {name} is {found['config'][name]!r}, not {getattr(config, name)!r}")
             self._state = found["state"]
+            if files.exists(spark, f"{self.root}/index/index.json"):
+                kept = files.read_json(spark, f"{self.root}/index/index.json")
+                if kept["key"] == self._index_key():
+                    self._kept = kept
         elif held:
             self._state["version"] = int(held[-1][9:-5])
 
@@ -118,7 +123,7 @@ class VectorStore:
             "count": self.count, "deleted": self._state["next_row"] - self.count, "dimension": self.dimension, "metric": self.metric,
             "quant_bits": self.config.quant_bits, "segments": len(self._state["segments"]), "version": self._state["version"], "last_query_ms": self._last_ms,
         }
-        for name in ("nlist", "nprobe", "tuned_recall", "shards", "max_level"):
+        for name in ("nlist", "nprobe", "tuned_recall", "shards", "max_level", "indexed_segments"):
             if name in self._index:
                 out[name] = self._index[name]
         return out
@@ -163,12 +168,9 @@ class VectorStore:
     def _write(self, df: DataFrame, upsert: bool, raw: bool = False) -> int:
         """Writes a checked batch as a segment; nothing of it counts unless all of it is valid."""
         part = f"staging/{uuid.uuid4().hex}"
-        rows = self._prepare(df)
-        if upsert:  # the last of a batch counts; without an order of their own, the largest
-            w = Window.partitionBy("id").orderBy(F.desc_nulls_last("metadata"), F.desc("vector"))
-            rows = rows.withColumn("nf_n", F.row_number().over(w)).where("nf_n = 1").drop("nf_n")
-        rows.withColumn("nf_part", F.spark_partition_id()).withColumn("nf_at", F.monotonically_increasing_id()).write.parquet(f"{self.root}/{part}")
-        staged = self.spark.read.parquet(f"{self.root}/{part}")
+        # numbered in input order: partitions one after the other, rows within them
+        self._prepare(df).withColumn("nf_part", F.spark_partition_id()).withColumn("nf_at", F.monotonically_increasing_id()).write.parquet(f"{self.root}/{part}/rows")
+        staged = self.spark.read.parquet(f"{self.root}/{part}/rows")
         try:
             bad = staged.agg(
                 F.count("*").alias("n"),
@@ -184,6 +186,12 @@ class VectorStore:
                 twice = staged.groupBy("id").count().where("count > 1").select("id").first()
                 if twice:
                     raise ValueError(f"id {twice[0]!r} is twice in the batch")
+            n = bad.n
+            if upsert:  # the last of a batch counts, as if the records came one by one
+                last = staged.groupBy("id").agg(F.max_by(F.struct("vector", "metadata", "nf_part", "nf_at"), "nf_at").alias("r"))
+                last.select("id", "r.*").write.parquet(f"{self.root}/{part}/last")
+                staged = self.spark.read.parquet(f"{self.root}/{part}/last")
+                n = staged.count()
             tombstones = list(self._state["tombstones"])
             n_replaced = 0
             if upsert and self.count:
@@ -198,16 +206,19 @@ class VectorStore:
             counts = staged.groupBy("nf_part").agg(F.count("*").alias("n"), F.min("nf_at").alias("nf_from"))
             before = F.sum("n").over(Window.orderBy("nf_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a task
             offsets = counts.select("nf_part", "nf_from", F.coalesce(before, F.lit(0)).alias("nf_before"))
-            row = F.lit(self._state["next_row"]) + F.col("nf_before") + F.col("nf_at") - F.col("nf_from")
+            place = F.col("nf_at") - F.col("nf_from")
+            if upsert:  # some rows of a part may be gone
+                place = F.row_number().over(Window.partitionBy("nf_part").orderBy("nf_at")) - 1
+            row = F.lit(self._state["next_row"]) + F.col("nf_before") + place
             vector = V.normalize(F.col("vector")) if self.config.normalize and not raw else F.col("vector")
             name = f"segments/{uuid.uuid4().hex}"
             staged.join(F.broadcast(offsets), "nf_part").select(row.cast("long").alias("row"), "id", vector.alias("vector"), "metadata").write.parquet(f"{self.root}/{name}")
         finally:
             files.remove(self.spark, f"{self.root}/{part}")
         self._commit(
-            next_row=self._state["next_row"] + bad.n, segments=[*self._state["segments"], name], tombstones=tombstones, live=self.count + bad.n - n_replaced
+            next_row=self._state["next_row"] + n, segments=[*self._state["segments"], name], tombstones=tombstones, live=self.count + n - n_replaced
         )
-        return n_replaced if upsert else bad.n
+        return n_replaced if upsert else n
 
     def _frame(self, records: DataFrame | Iterable[dict[str, Any]], text: bool = False) -> DataFrame:
         if isinstance(records, DataFrame):
@@ -247,7 +258,7 @@ class VectorStore:
         return self.upsert([record]) > 0
 
     def upsert(self, records: DataFrame | Iterable[dict[str, Any]]) -> int:
-        """Adds records, replacing those of their ids; how many were replaced."""
+        """Adds records, replacing those of their ids; how many were replaced. Of records with one id the last counts."""
         return self._write(self._frame(records), upsert=True)
 
     def delete(self, id_: str) -> bool:
@@ -265,11 +276,11 @@ class VectorStore:
         return n
 
     def compact(self) -> int:
-        """Rewrites the live records as one segment with fresh row numbers; how many deleted ones went. 0 changes nothing."""
+        """Rewrites the live records as one segment with fresh row numbers; how many deleted ones went. 0 changes nothing. The
+        old files stay, as results not yet evaluated and other readers may need them, until vacuum()."""
         gone = self._state["next_row"] - self.count
         if not gone:
             return 0
-        old = [*self._state["segments"], *self._state["tombstones"]]
         name = f"segments/{uuid.uuid4().hex}"
         part = f"staging/{uuid.uuid4().hex}"
         self.live().repartitionByRange("row").sortWithinPartitions("row").withColumn("nf_part", F.spark_partition_id()).withColumn(
@@ -283,46 +294,120 @@ class VectorStore:
         staged.join(F.broadcast(offsets), "nf_part").select(row.alias("row"), "id", "vector", "metadata").write.parquet(f"{self.root}/{name}")
         files.remove(self.spark, f"{self.root}/{part}")
         self._commit(next_row=self.count, segments=[name] if self.count else [], tombstones=[])
-        for path in old:
-            files.remove(self.spark, f"{self.root}/{path}")
         return gone
 
+    def vacuum(self) -> int:
+        """Deletes the files that the newest state does not name, and older manifests; how many. Only when nobody reads them any more."""
+        keep = {*self._state["segments"], *self._state["tombstones"], *(x["path"] for x in self._kept["segments"].values()), self._kept.get("centroids")}
+        removed = 0
+        for folder in ("segments", "tombstones", "index", "staging"):
+            for name in files.names(self.spark, f"{self.root}/{folder}"):
+                if f"{folder}/{name}" not in keep and not name.endswith(".json"):
+                    removed += files.remove(self.spark, f"{self.root}/{folder}/{name}")
+        newest = f"manifest-{self._state['version']:08d}.json"
+        for name in files.names(self.spark, self.root):
+            if name.startswith("manifest-") and name.endswith(".json") and name != newest:
+                removed += files.remove(self.spark, f"{self.root}/{name}")
+        return removed
+
     # --- indexes
 
+    def _index_key(self) -> str:
+        """What an index depends on besides the records."""
+        c = self.config
+        return json.dumps([c.dimension, c.metric, c.quant_bits, c.ann, c.seed, c.rounds, c.nlist, c.nprobe, c.target_recall, c.iterations, c.sample_size, c.ann_seed, c.m, c.ef_construction, c.shard_rows])
+
+    def _rows_of(self, segment: str) -> DataFrame:
+        return self.spark.read.schema("row long, vector array<float>").parquet(f"{self.root}/{segment}")
+
     def build(self) -> None:
-        """Builds the configured index over the live records, unless it is that of this version; queries call it."""
-        version = self._state["version"]
-        if self._index.get("version") == version or not (self.config.ann or self.config.quant_bits):
+        """Builds the configured index over what has none yet; queries call it.
+
+        A segment of records has an index segment of its own (codes, lists, or graph shards), written once: adding records
+        adds one, deletes are filtered in the search, opening the folder again finds them all. The centroids of inverted
+        lists are trained once and anew when the records have doubled, or been compacted; then all lists are written again."""
+        c, segments = self.config, self._state["segments"]
+        if not (c.ann or c.quant_bits) or not self.count:
+            return
+        if self._index.get("segments") == segments:
+            self._index["indexed_segments"] = 0
             return
-        c, at = self.config, f"{self.root}/index/{version:08d}-{uuid.uuid4().hex}"
-        made: dict[str, Any] = {"version": version}
-        rows = self.live().select("row", "vector").persist(StorageLevel.MEMORY_AND_DISK)
-        if c.quant_bits:
-            made["rotator"] = quant.Rotator(c.dimension, c.seed, c.rounds)
-            quantized.encode(rows, made["rotator"], c.quant_bits, "row").write.parquet(f"{at}/codes")
-            made["codes"] = self.spark.read.parquet(f"{at}/codes")
-        if c.ann == "ivf" and self.count:
+        key = self._index_key()
+        kept = self._kept if self._kept["key"] == key else {"key": key, "segments": {}}
+        kept = kept | {"segments": {s: x for s, x in kept["segments"].items() if s in segments}}
+        trained = self._index.get("centroids")
+        if c.ann == "ivf":
+            if "centroids" in kept and kept["segments"] and self.count <= 2 * kept["trained"]:
+                if trained is None:
+                    trained = np.array([r[0] for r in self.spark.read.parquet(f"{self.root}/{kept['centroids']}").orderBy("cluster").select("centroid").collect()])  # nlist rows
+            else:
+                trained = None
+                kept["segments"] = {}
+        fresh = [s for s in segments if s not in kept["segments"]]
+        rotator = quant.Rotator(c.dimension, c.seed, c.rounds) if c.quant_bits else None
+        encode = lambda rows: quantized.encode(rows, rotator, c.quant_bits, "row")
+        if c.ann == "ivf" and trained is None:
             nlist = ivf.choose_nlist(self.count, c.nlist)
-            base = rows
-            if c.quant_bits:
-                base = quantized.decode(made["codes"], made["rotator"], c.quant_bits, "row").withColumnRenamed("rotated", "vector")
-            sample = ivf.hash_sample(base, max(1024, c.sample_size), "row")
-            made["centroids"] = ivf.train_centroids(sample, nlist, "row", "vector", c.iterations, c.ann_seed)
-            made["lists"] = ivf.write_lists(ivf.assign(base, made["centroids"]), f"{at}/lists")
-            made["nlist"] = nlist
-            made["nprobe"] = ivf.default_nprobe(nlist)
-            if c.nprobe is not None:
-                made["nprobe"] = max(1, min(c.nprobe, nlist))
-            elif c.target_recall is not None:
-                made["nprobe"], made["tuned_recall"] = ivf.tune(made["lists"], made["centroids"], c.target_recall, "row", "vector", c.sample_size)
-        if c.ann == "hnsw" and self.count:
-            made["shards"] = -(-self.count // c.shard_rows)
-            metric = "l2" if c.metric == "l2" else "dot"
-            hnsw.build(rows, metric, made["shards"], "row", "vector", c.m, c.ef_construction, c.ann_seed).write.parquet(f"{at}/graph")
-            made["graph"] = self.spark.read.parquet(f"{at}/graph")
-            made["max_level"] = made["graph"].agg(F.max(F.size("links"))).first()[0] - 1
-        rows.unpersist()
-        self._index = made
+            sample = ivf.hash_sample(self.live().select("row", "vector"), max(1024, c.sample_size), "row")
+            if rotator is not None:
+                sample = quantized.decode(encode(sample), rotator, c.quant_bits, "row").withColumnRenamed("rotated", "vector")
+            trained = ivf.train_centroids(sample, nlist, "row", "vector", c.iterations, c.ann_seed)
+            kept |= {"centroids": f"index/{uuid.uuid4().hex}-centroids", "trained": self.count, "nlist": nlist}
+            kept.pop("nprobe", None)
+            ivf.centroid_table(self.spark, trained).coalesce(1).write.parquet(f"{self.root}/{kept['centroids']}")
+        shards = sum(x.get("shards", 0) for x in kept["segments"].values())
+        number = max((x.get("first_shard", 0) + x.get("shards", 0) for x in kept["segments"].values()), default=0)
+        for segment in fresh:
+            rows, path, about = self._rows_of(segment), f"index/segment={uuid.uuid4().hex}", {}
+            if c.ann == "ivf":
+                assigned = ivf.assign(rows, trained) if rotator is None else quantized.assign_codes(encode(rows), trained, c.quant_bits, "row")
+                ivf.write_lists(assigned, f"{self.root}/{path}")
+            elif c.ann == "hnsw":
+                about = {"shards": -(-rows.count() // c.shard_rows), "first_shard": number}
+                hnsw.build(rows, self._walk_metric, about["shards"], "row", "vector", c.m, c.ef_construction, c.ann_seed, number).write.parquet(f"{self.root}/{path}")
+                number, shards = number + about["shards"], shards + about["shards"]
+            else:
+                encode(rows).write.parquet(f"{self.root}/{path}")
+            kept["segments"][segment] = {"path": path} | about
+        index: dict[str, Any] = {"segments": list(segments), "indexed_segments": len(fresh), "rotator": rotator, "rows": self._index_rows(kept)}
+        if c.ann == "ivf":
+            if "nprobe" not in kept:
+                kept["nprobe"] = ivf.default_nprobe(kept["nlist"])
+                if c.nprobe is not None:
+                    kept["nprobe"] = max(1, min(c.nprobe, kept["nlist"]))
+                elif c.target_recall is not None:
+                    lists = index["rows"]
+                    if rotator is not None:
+                        lists = quantized.decode(lists, rotator, c.quant_bits, "row").join(lists.select("row", "cluster"), "row").withColumnRenamed("rotated", "vector")
+                    kept["nprobe"], kept["tuned_recall"] = ivf.tune(lists, trained, c.target_recall, "row", "vector", c.sample_size)
+            index |= {"centroids": trained} | {n: kept[n] for n in ("nlist", "nprobe", "tuned_recall") if n in kept}
+        if c.ann == "hnsw":
+            index["shards"] = shards
+            index["max_level"] = kept["max_level"] if not fresh and "max_level" in kept else hnsw.edges(index["rows"], "row").agg(F.max("level")).first()[0]
+            kept["max_level"] = index["max_level"]
+        if kept != self._kept:
+            files.write_json(self.spark, f"{self.root}/index/index.json", kept)
+        self._kept, self._index = kept, index
+
+    @property
+    def _walk_metric(self) -> str:
+        return "l2" if self.config.metric == "l2" else "dot"
+
+    def _index_rows(self, kept: dict[str, Any]) -> DataFrame:
+        """The index segments as one table."""
+        c = self.config
+        if c.ann == "hnsw":
+            schema = hnsw.packed_schema("row", "bigint")
+        else:
+            schema = ("row long, codes binary, scale double" if c.quant_bits else "row long, vector array<float>") + (", cluster int" if c.ann == "ivf" else "")
+        paths = [f"{self.root}/{x['path']}" for x in kept["segments"].values()]
+        return self.spark.read.schema(schema + ", segment string").option("basePath", f"{self.root}/index").parquet(*paths).drop("segment")
+
+    def _deleted(self) -> DataFrame | None:
+        """(row) of the tombstones, if there are any."""
+        if not self._state["tombstones"]:
+            return None
+        return self.spark.read.schema("row long").parquet(*(f"{self.root}/{t}" for t in self._state["tombstones"]))
 
     # --- queries
 
@@ -340,9 +425,10 @@ class VectorStore:
 
     def query_batch(
         self, queries: DataFrame | Sequence[Sequence[float]], k: int = 10, filter: dict | None = None, rerank: bool | None = None,
-        nprobe: int | None = None, ef_search: int | None = None,
+        nprobe: int | None = None, ef_search: int | None = None, entry_mode: str = "descend",
     ) -> DataFrame:
-        """(q_id, id, score, metadata, rank) for queries (q_id, q), or for vectors numbered from 0. Options count for this call only.
+        """(q_id, id, score, metadata, rank) for queries (q_id, q), or for vectors numbered from 0. Options count for this call only;
+        entry_mode "spread" starts graph walks from rows spread over the shard instead of descending its upper layers.
 
         The predicate is part of the plan below the top-k. If at most EXACT_ROWS records meet it they are scored exactly; beyond that
         flat and inverted lists are searched among what meets it, and a graph is walked until enough of its hits do."""
@@ -366,26 +452,28 @@ class VectorStore:
             hits = q.select("q_id", F.lit(0).cast("long").alias("row"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         else:
             self.build()
-            hits = self._hits(q, live, k, filter is not None, c.rerank if rerank is None else rerank, nprobe, ef_search)
+            hits = self._hits(q, live, k, filter is not None, c.rerank if rerank is None else rerank, nprobe, ef_search, entry_mode)
         return hits.join(live.select("row", "id", "metadata"), "row").select("q_id", "id", "score", "metadata", "rank")
 
-    def _hits(self, q: DataFrame, live: DataFrame, k: int, filtered: bool, rerank: bool, nprobe: int | None, ef: int | None) -> DataFrame:
+    def _hits(self, q: DataFrame, live: DataFrame, k: int, filtered: bool, rerank: bool, nprobe: int | None, ef: int | None, entry_mode: str) -> DataFrame:
         c, x = self.config, self._index
-        metric = "l2" if c.metric == "l2" else "dot"
+        if not (c.ann or c.quant_bits):
+            return knn.knn_join(q, live, k, self._walk_metric, "row", normalize_queries=False)
+        gone = self._deleted()
+        if c.ann == "hnsw":
+            keep = live.select("row") if filtered or gone is not None else None
+            return hnsw.search(q, x["rows"], k, ef or c.ef_search, self._walk_metric, "row", entry_mode, keep)
+        rows = x["rows"]
+        if filtered:
+            rows = rows.join(live.select("row"), "row", "left_semi")
+        elif gone is not None:
+            rows = rows.join(gone, "row", "left_anti")
         factor = (c.rerank_factor or quant.RERANK_FACTOR[c.quant_bits]) if c.quant_bits and rerank else 1
+        if c.ann == "ivf" and c.quant_bits:
+            return quantized.ivf_knn(q, rows, x["centroids"], live, k, nprobe or x["nprobe"], x["rotator"], c.quant_bits, "row", factor=factor)
         if c.ann == "ivf":
-            lists = x["lists"].join(live.select("row"), "row", "left_semi") if filtered else x["lists"]
-            side = q
-            if c.quant_bits:
-                side = quantized._rotated(q, x["rotator"])
-            found = ivf.search(side, lists, x["centroids"], k * factor, nprobe or x["nprobe"], "row")
-            return found if not c.quant_bits or factor == 1 else quantized.rerank(q, found, live, k, "dot", "row")
-        if c.ann == "hnsw":
-            return hnsw.search(q, x["graph"], k, ef or c.ef_search, metric, "row", c.m, keep=live.select("row") if filtered else None)
-        if c.quant_bits:
-            codes = x["codes"].join(live.select("row"), "row", "left_semi") if filtered else x["codes"]
-            return quantized.quantized_knn(q, codes, live, k, x["rotator"], c.quant_bits, "row", factor=factor)
-        return knn.knn_join(q, live, k, metric, "row", normalize_queries=False)
+            return ivf.search(q, rows, x["centroids"], k, nprobe or x["nprobe"], "row")
+        return quantized.quantized_knn(q, rows, live, k, x["rotator"], c.quant_bits, "row", factor=factor)
 
     # --- snapshots
 
@@ -412,7 +500,7 @@ class VectorStore:
             self.build()
             if self._index["shards"] == 1:
                 # positions within the shard are the rows in order
-                graph = {"m": self.config.m, "links": [r[0] for r in self._index["graph"].orderBy("pos").select("links").collect()]}
+                graph = {"m": self.config.m, "links": hnsw.Graph.unpack(self._index["rows"].first().asDict(), self._walk_metric).state()}
         data = snapshot.serialize(snapshot.Snapshot(self.dimension, self.metric, bool(self.config.normalize), entries, x, graph))
         word = self.passphrase if passphrase is None else passphrase
         return data if word is None else snapshot.seal(self.spark, data, word)
@@ -428,10 +516,14 @@ class VectorStore:
             # one partition: the order of the rows is the blob's
             store._write(spark.createDataFrame(rows, _ROW).coalesce(1), upsert=False, raw=True)
         if s.graph is not None and store.config.ann == "hnsw" and s.graph["m"] == store.config.m:
-            made = [(0, i, i, [float(v) for v in x], l) for i, (x, l) in enumerate(zip(s.vectors, s.graph["links"]))]
-            at = f"{store.root}/index/{store._state['version']:08d}-{uuid.uuid4().hex}/graph"
-            spark.createDataFrame(made, "shard int, pos int, row long, vector array<double>, links array<array<int>>").write.parquet(at)
-            store._index = {"version": store._state["version"], "graph": spark.read.parquet(at), "shards": 1, "max_level": max(len(l) for l in s.graph["links"]) - 1}
+            # row numbers are the blob's order
+            g = hnsw.Graph.restore(np.asarray(s.vectors, np.float32), s.graph["links"], store._walk_metric, s.graph["m"])
+            path = f"index/segment={uuid.uuid4().hex}"
+            made = hnsw.packed_table(0, pa.array(range(s.count), pa.int64()), g, "row")
+            spark.createDataFrame([made.to_pylist()[0]], hnsw.packed_schema("row", "bigint")).write.parquet(f"{store.root}/{path}")
+            store._kept = {"key": store._index_key(), "segments": {store._state["segments"][0]: {"path": path, "shards": 1, "first_shard": 0}}, "max_level": g.top}
+            files.write_json(spark, f"{store.root}/index/index.json", store._kept)
+            store.build()  # nothing is left to build: it is opened
         return store
 
     def destroy(self) -> None:

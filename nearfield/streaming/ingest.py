@@ -14,6 +14,10 @@ from nearfield.sources import files
 from nearfield.sources.store import VectorStore
 
 
+#: After so many micro-batches the kept order is written as one part.
+ORDER_PARTS = 32
+
+
 def _once(store: VectorStore, name: str, act: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """act on each micro-batch once: the number of the last one is kept beside the store, so that a replay is skipped."""
     at = f"{store.root}/streams/{name}.json"
@@ -44,11 +48,31 @@ def ingest(stream: DataFrame, store: VectorStore, name: str = "ingest", **trigge
 
 
 def upsert(stream: DataFrame, store: VectorStore, order_col: str, name: str = "upsert", **trigger) -> StreamingQuery:
-    """Upserts a stream of records; of one id in a micro-batch that of the largest order_col counts."""
+    """Upserts a stream of records; of one id the record of the largest order_col counts, in whatever micro-batch it comes (of
+    equals the latest to arrive; a null is smaller than any). The order of what was taken is kept beside the store, (id, order_col) in a
+    segment for each micro-batch."""
+    at = f"{store.root}/streams/{name}-order"
 
     def act(batch: DataFrame) -> None:
-        last = batch.groupBy("id").agg(F.max_by(F.struct(*(c for c in batch.columns if c not in ("id", order_col))), order_col).alias("r"))
-        store.upsert(last.select("id", "r.*"))
+        others = [c for c in batch.columns if c not in ("id", order_col)]
+        # max_by passes over nulls: a struct that begins with whether there is a value doesn't
+        by = F.struct(F.col(order_col).isNotNull(), order_col)
+        last = batch.groupBy("id").agg(F.max_by(F.struct(order_col, *others), by).alias("r")).select("id", "r.*")
+        parts = files.names(store.spark, at)
+        if parts:
+            taken = store.spark.read.parquet(*(f"{at}/{p}" for p in parts)).groupBy("id").agg(F.max(order_col).alias("nf_taken"))
+            late = F.col("nf_taken").isNotNull() & (F.col(order_col).isNull() | (F.col(order_col) < F.col("nf_taken")))
+            last = last.join(taken, "id", "left").where(~late).drop("nf_taken")
+        last = last.persist()
+        store.upsert(last.drop(order_col))
+        number = int(parts[-1]) + 1 if parts else 0
+        last.select("id", order_col).write.mode("overwrite").parquet(f"{at}/{number:08d}")
+        last.unpersist()
+        if len(parts) >= ORDER_PARTS:  # as one again; the parts are read by no one else
+            merged = store.spark.read.parquet(f"{at}/*").groupBy("id").agg(F.max(order_col).alias(order_col))
+            merged.write.mode("overwrite").parquet(f"{at}/{number + 1:08d}")
+            for p in files.names(store.spark, at)[:-1]:
+                files.remove(store.spark, f"{at}/{p}")
 
     return _start(stream, name, store, _once(store, name, act), trigger or {"availableNow": True})
 
@@ -73,7 +97,8 @@ def running_sample(stream: DataFrame, store: VectorStore, cap: int, name: str =
         rows = batch.select("id", "vector")
         if kept:
             rows = rows.unionByName(store.spark.read.parquet(f"{at}/{kept[-1]}"))
-        hash_sample(rows, cap).write.parquet(f"{at}/{len(kept):08d}")
+        rows = rows.dropDuplicates(["id"])  # a replay after a crash, or an id that comes again
+        hash_sample(rows, cap).write.mode("overwrite").parquet(f"{at}/{len(kept):08d}")
 
     return _start(stream, name, store, _once(store, name, act), trigger or {"availableNow": True})
 

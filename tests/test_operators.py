@@ -371,8 +371,12 @@ def test_sharded_graph(spark):
     assert all(set(r) <= set(range(7, 800, 100)) and len(r) == 8 for r in kept)
     e = hnsw.edges(g)
     assert e.where("level = 0").count() == 800 and e.select(F.max(F.size("neighbours"))).first()[0] <= 32
-    with pytest.raises(ValueError):
-        hnsw.search(asked(spark, q), g, 10, broadcast_bytes=1)
+    assert found(hnsw.search(asked(spark, q), g, 10, 128, broadcast_bytes=1), 8) == got  # in blocks
+    assert recall(brute(q, x, 10), found(hnsw.search(asked(spark, q), g, 10, 128, entry_mode="spread"), 8)) >= 0.85
+    exact = hnsw.search(asked(spark, q), g, 10, 800)  # walks that reach every row
+    assert found(exact, 8) == brute(q, x, 10)
+    plan = hnsw.search(asked(spark, q), g, 10, 128)._jdf.queryExecution().executedPlan().toString()
+    assert "shard" not in plan.split("hashpartitioning")[1].split("\n")[0]
 
 
 def test_samples_merge(spark):

@@ -1,6 +1,7 @@
 """The store, snapshots and streams."""
 
 import json
+import pathlib
 
 import numpy as np
 import pytest
@@ -77,7 +78,7 @@ def test_bad_configurations(bad):
 @pytest.mark.parametrize(
     ("config", "floor"),
     [({}, 1), ({"metric": "l2"}, 1), ({"metric": "dot"}, 1), ({"quant_bits": 8}, 0.95), ({"quant_bits": 4}, 0.85), ({"quant_bits": 1}, 0.7), ({"ann": "ivf", "nprobe": 16}, 0.99),
-     ({"ann": "ivf", "target_recall": 0.9}, 0.75), ({"ann": "ivf", "quant_bits": 8, "nprobe": 16}, 0.95), ({"ann": "hnsw"}, 0.9), ({"ann": "hnsw", "metric": "l2", "shard_rows": 100}, 0.9)],
+     ({"ann": "ivf", "target_recall": 0.9}, 0.75), ({"ann": "ivf", "quant_bits": 8, "nprobe": 16}, 0.95), ({"ann": "ivf", "quant_bits": 4, "nprobe": 16}, 0.85), ({"ann": "ivf", "quant_bits": 1, "target_recall": 1.0}, 0.7), ({"ann": "hnsw"}, 0.9), ({"ann": "hnsw", "metric": "l2", "shard_rows": 100}, 0.9)],
 )
 def test_every_index_answers(new, config, floor):
     x, q = synthetic.uniform(300, 32, 3), synthetic.uniform(6, 32, 4)
@@ -100,6 +101,75 @@ def test_every_index_answers(new, config, floor):
     assert best not in {r["id"] for r in again} and (s.metric == "dot" or again[0]["id"] == "same")
 
 
+def index_files(store):
+    return sorted(p for p in pathlib.Path(store.root, "index").rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("config", [{"quant_bits": 8}, {"ann": "ivf", "nprobe": 16}, {"ann": "ivf", "quant_bits": 4, "nprobe": 16}, {"ann": "hnsw", "shard_rows": 100}])
+def test_indexes_outlive_the_process_and_grow(spark, new, config):
+    x, q = synthetic.uniform(400, 32, 3), synthetic.uniform(5, 32, 4)
+    s = new(Config(32, **config))
+    s.add_batch(records(x[:250]))
+    ask = lambda store: {(r.q_id, r.id) for r in store.query_batch(q.tolist(), 10, ef_search=400).collect()}
+    first, made = ask(s), index_files(s)
+    t = VectorStore(spark, s.root, s.config)
+    assert ask(t) == first and index_files(t) == made and t.stats()["indexed_segments"] == 0  # nothing is built
+    # new records add an index segment, deletes none
+    t.add_batch([r | {"id": f"w{i}"} for i, r in enumerate(records(x[250:]))])
+    grown = ask(t)
+    after = index_files(t)
+    assert set(made) < set(after) and t.stats()["indexed_segments"] == 1 and any(i.startswith("w") for _, i in grown)
+    gone = {i for n, i in grown if n == 0}
+    for i in gone:
+        assert t.delete(i)
+    assert not {i for _, i in ask(t)} & gone and index_files(t) == after and t.stats()["indexed_segments"] == 0
+    # compaction makes one segment; vacuum leaves its index only
+    assert t.compact() == len(gone)
+    compacted = ask(t)
+    assert t.vacuum() > 0 and ask(VectorStore(spark, s.root, s.config)) == compacted
+    assert len({p.parent if "cluster=" not in str(p) else p.parent.parent for p in index_files(t)} - {p.parent for p in index_files(t) if "centroids" in str(p)}) == 1
+    other = VectorStore(spark, s.root, Config(32, **(config | {"seed": 5, "m": 8})))
+    assert len(ask(other)) == 50 and other.stats()["indexed_segments"] == 1  # an index of another kind is not taken
+
+
+def test_spread_entry(new):
+    x = synthetic.uniform(200, 16, 3)
+    s = new(Config(16, ann="hnsw"))
+    s.add_batch(records(x))
+    assert [r.id for r in s.query_batch(x[:20].tolist(), 1, entry_mode="spread").orderBy("q_id").collect()] == [f"v{i}" for i in range(20)]
+
+
+def test_the_last_of_a_batch_wins(spark, new):
+    s = new(Config(2, normalize=False))
+    s.add_batch([{"id": "a", "vector": [1, 0]}])
+    assert s.upsert([{"id": "b", "vector": [1, 0], "metadata": {"n": 9}}, {"id": "a", "vector": [2, 0]}, {"id": "b", "vector": [0, 1], "metadata": {"n": 1}}, {"id": "c", "vector": [3, 0]}]) == 1
+    assert s.get("b") == {"id": "b", "vector": [0.0, 1.0], "metadata": {"n": 1}} and s.count == 3 and s.get("a")["vector"] == [2.0, 0.0]
+    rows = spark.createDataFrame([("d", [float(i), 1.0], None) for i in range(500)], "id string, vector array<double>, metadata string").repartition(1).sortWithinPartitions("vector")
+    s.upsert(rows)
+    assert s.get("d")["vector"] == [499.0, 1.0] and s.stats()["deleted"] == 1
+    numbers = sorted(r.row for r in s.live().select("row").collect())
+    assert len(set(numbers)) == 4 and s.compact() == 1
+
+
+def test_compaction_keeps_what_readers_name(new):
+    s = new(Config(2, normalize=False))
+    s.add_batch([{"id": str(i), "vector": [i, 1]} for i in range(10)])
+    s.delete("3")
+    reader = s.live()
+    s.compact()
+    assert reader.count() == 9 and s.vacuum() >= 2 and s.live().count() == 9 and s.vacuum() == 0
+
+
+def test_late_records_of_a_stream(spark, new, tmp_path):
+    s = new(Config(2, normalize=False))
+    schema = "id string, vector array<double>, metadata string, at int"
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/up")
+    for batch in ([("a", 2), ("b", None)], [("a", 1), ("b", 0), ("c", 5)], [("a", 3), ("c", 4), ("b", None)], [("a", 3), ("c", 5)]):
+        spark.createDataFrame([(i, [float(n or 0), 0.0], json.dumps({"at": n, "turn": len(s.root)}), n) for i, n in batch], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+        ingest.upsert(source(), s, "at").awaitTermination()
+    assert {i: s.get(i)["metadata"]["at"] for i in "abc"} == {"a": 3, "b": 0, "c": 5}
+
+
 def test_batches_equal_single_queries(new):
     x, q = synthetic.uniform(100, 16, 9), synthetic.uniform(4, 16, 10)
     s = new(Config(16))
