@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.prng import mulberry32
 from nearfield.operators.knn import BROADCAST_BYTES, knn_join, matrix, ranked, side_bytes, top_of
-from nearfield.operators.sampling import evenly_spaced, hash_sample
+from nearfield.operators.sampling import by_hash, evenly_spaced, hash_sample
 
 ITERATIONS = 8
 SAMPLE_SIZE = 50_000
@@ -89,9 +89,9 @@ def train_centroids(sample: DataFrame, nlist: int, id_col: str = "id", vector_co
     n, d = sample.agg(F.count("*"), F.max(F.size(vector_col))).first()
     if n == 0:
         raise ValueError("no rows to train on")
-    by_hash = [F.xxhash64(F.lit(1), F.col(id_col)), F.col(id_col)]
+    order = by_hash(id_col)
     if n * nlist * d <= LOCAL_WORK:
-        x = matrix(sample.orderBy(*by_hash).select(vector_col).toArrow().column(0))
+        x = matrix(sample.orderBy(*order).select(vector_col).toArrow().column(0))
         rows = lambda which: x[which]
 
         def step(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ def train_centroids(sample: DataFrame, nlist: int, id_col: str = "id", vector_co
             np.add.at(sums, at, x)
             return sums, np.bincount(at, minlength=nlist)
     else:
-        placed = sample.withColumn("nf_at", F.row_number().over(Window.orderBy(*by_hash)) - 1)
+        placed = sample.withColumn("nf_at", F.row_number().over(Window.orderBy(*order)) - 1)
 
         def rows(which: list[int]) -> np.ndarray:
             found = {r[0]: r[1] for r in placed.where(F.col("nf_at").isin(sorted(set(which)))).select("nf_at", vector_col).collect()}
@@ -303,7 +303,7 @@ def tune(assigned: DataFrame, centroids: np.ndarray, target: float, id_col: str
     if k < 1 or len(centroids) <= 1:
         return 1, 1.0
     filled = min(rows, sample_size)
-    w = Window.orderBy(F.xxhash64(F.lit(1), F.col(id_col)), F.col(id_col))
+    w = Window.orderBy(*by_hash(id_col))  # over the bounded sample
     at = hash_sample(assigned.select(id_col, vector_col), filled, id_col).withColumn("nf_at", F.row_number().over(w) - 1)
     picks = at.where(F.col("nf_at").isin(evenly_spaced(filled, TUNE_QUERIES))).select(F.col(id_col).alias("q_id"), F.col(vector_col).alias("q"))
     return choose_nprobe(recall_curve(picks, assigned, centroids, k, id_col, vector_col), target)
