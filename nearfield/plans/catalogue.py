@@ -900,7 +900,8 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(count, s["count"], s["deleted"], s["segments"])], "count long, left_ long, deleted long, segments long")
 
 
-@query(f"WITH {_embedded_sql('documents', 'doc_id')} SELECT doc_id, idx, round(weight, 4) AS weight FROM emb")
+@query(f"""WITH {_embedded_sql('documents', 'doc_id')}, f AS (SELECT doc_id, idx, weight::FLOAT::DOUBLE AS w FROM emb)
+SELECT doc_id, idx, round((w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 4) AS weight FROM f""")
 def store_add_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts embedded into a store: their vectors' cells."""
     store = VectorStore(spark, session.scratch(spark, "store"), Config(TEXT_DIMENSION), embedder=embedding.HashingEmbedder(TEXT_DIMENSION))
