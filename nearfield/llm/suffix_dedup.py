@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.textscan import SPACE, groups_of_rows, powers, runs, span_hashes, string_spans, words_of
+from nearfield.llm.textscan import SPACE, groups_of_rows, materialize, mix64, powers, runs, span_hashes, string_spans, words_of
 
 #: A passage is repeated if it has so many words.
 PASSAGE_WORDS = 50
 #: Words of the spans that bring candidates together. Any passage of PASSAGE_WORDS words holds the least hash among its
 #: PASSAGE_WORDS - SEED_WORDS + 1 spans of this length, so both copies of a passage meet under one seed.
 SEED_WORDS = 20
+#: Places of a seed that one task may hold, about 400 bytes each.
+HOT_ROWS = 4096
 _CHUNK = 1 << 19
+_OTHER = np.uint64(0xD1B54A32D192ED03)
 _SEGMENTS = 20_000
 _INK = (1 - SPACE).astype(np.uint8)
 
@@ -79,29 +82,11 @@ def seed_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, _SEED)
 
 
-def shared_seeds(rows: DataFrame) -> DataFrame:
-    """The rows whose seed stands in another place too. One shuffle; a seed's rows are compared as they stream by."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the last row so far, and whether the row before it has its seed
-        held: pa.RecordBatch | None = None
-        tied = False
-        for b in batches:
-            if not b.num_rows:
-                continue
-            both = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            k, d, w = (np.asarray(both.column(i)) for i in range(3))
-            same = (k[1:] == k[:-1]) & ~((d[1:] == d[:-1]) & (w[1:] == w[:-1]))
-            keep = np.zeros(len(k), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            keep[0] |= tied
-            yield both.slice(0, len(k) - 1).filter(pa.array(keep[:-1]))
-            held, tied = both.slice(len(k) - 1), bool(keep[-1])
-        if held is not None and tied:
-            yield held
-
-    return rows.repartition("seed").sortWithinPartitions("seed", "doc_id", "word").mapInArrow(run, _SEED)
+def seeded(rows: DataFrame, shared: DataFrame, words: int, seed: int) -> DataFrame:
+    """(doc_id, text, seeds) of the rows that have a seed of `shared`, with the places of those."""
+    own = seed_rows(rows, words, seed).join(shared.select("seed"), "seed", "left_semi")
+    places = own.groupBy("doc_id").agg(F.collect_set(F.struct("word", "seed", "back", "count")).alias("seeds"))
+    return rows.join(places, "doc_id").select("doc_id", "text", "seeds")
 
 
 def segment_rows(docs: DataFrame, words: int, seed: int) -> DataFrame:
@@ -316,6 +301,47 @@ def passage_spans(segments: DataFrame, words: int) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, end long")
 
 
+def window_rows(docs: DataFrame, words: int) -> DataFrame:
+    """(h1, h2, doc_id, start, end): each passage that has one of the row's seeds, by two hashes of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, starts, ends = string_spans(b.column(1))
+            for i, d in enumerate(b.column(0).to_pylist()):
+                text = raw[starts[i] : ends[i]]
+                ws, we = runs(_INK[text])
+                places = b.column(2)[i].values
+                at, back, count = (np.asarray(places.field(k)).astype(np.int64) for k in (0, 2, 3))
+                ok = at - back + count - 1 + words <= len(ws)  # rows that share a doc_id may have different texts
+                first, count = (at - back)[ok], count[ok]
+                p = np.unique(np.repeat(first - np.cumsum(np.r_[0, count])[:-1], count) + np.arange(int(count.sum())))
+                h = span_hashes(text, ws, we)
+                two = [span_hashes(x, p, p + words) for x in (h, mix64(h ^ _OTHER))]
+                chars = np.cumsum((text & 0xC0) != 0x80)
+                start, end = chars[ws[p]] - 1, chars[we[p + words - 1] - 1]
+                for lo in range(0, len(p), _SEGMENTS):
+                    part = slice(lo, lo + _SEGMENTS)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(pa.array(x[part].view(np.int64)) for x in two),
+                            pa.array(np.full(len(p[part]), d, np.int64)),
+                            *(pa.array(x[part].astype(np.int64)) for x in (start, end)),
+                        ],
+                        ["h1", "h2", "doc_id", "start", "end"],
+                    )
+
+    return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, start long, end long")
+
+
+def window_spans(windows: DataFrame) -> DataFrame:
+    """(doc_id, start, end) of the windows that stand in two places. Copies are aggregated before they are shuffled; the join
+    back is one that adaptive execution splits."""
+    key, at = ["h1", "h2"], ["doc_id", "start"]
+    both = windows.groupBy(key).agg(*(f(c).alias(f"{n}_{c}") for c in at for n, f in (("low", F.min), ("high", F.max))))
+    shared = materialize(both.where("low_doc_id <> high_doc_id or low_start <> high_start").select(key), "passages-shared")
+    return windows.join(shared, key, "left_semi").select("doc_id", "start", "end")
+
+
 def merged_spans(spans: DataFrame) -> DataFrame:
     """(doc_id, start, end) with overlapping and adjoining spans of a document as one."""
 
@@ -337,19 +363,25 @@ def merged_spans(spans: DataFrame) -> DataFrame:
     return spans.repartition("doc_id").sortWithinPartitions("doc_id", "start", "end").mapInArrow(run, "doc_id long, start long, end long")
 
 
-def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed: int = SEED_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed: int = SEED_WORDS, hot: int = HOT_ROWS) -> DataFrame:
     """(doc_id, start, end): the spans of each text that are covered by passages of `words` words (by white space,
     exactly equal) which stand in another place of the corpus too, in another document or in the same.
 
-    start and end count characters from 0, end excluded. Exact: a passage counts wherever it stands, the first place
+    start and end count characters from 0, end excluded. A passage counts wherever it stands, the first place
     included. Null doc_ids, null or empty texts and texts of fewer words have no span; rows that repeat a doc_id with its
     text count once. Only doc_id and text are read.
 
     Passages of the whole corpus are brought together by seeds (see SEED_WORDS), about two in 32 words, of which only
     those that stand in two places go on. The words of the passages that have a shared seed, 65 on average, go to the seed's
-    bucket, where equal segments collapse as they stream by in sorted order and the suffixes of the rest are sorted."""
+    bucket, where equal segments collapse as they stream by in sorted order and the suffixes of the rest are sorted.
+    A seed of more than `hot` places has no bucket, which one task would have to take: its passages meet one by one under 128
+    bits of hashes, aggregated before they are shuffled. The spans are the same either way."""
     rows = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     rows = rows.select(rows["doc_id"].cast("long").alias("doc_id"), "text")
-    shared = shared_seeds(seed_rows(rows, words, seed)).groupBy("doc_id").agg(F.collect_set(F.struct("word", "seed", "back", "count")).alias("seeds"))
-    held = rows.join(shared, "doc_id").select("doc_id", "text", "seeds")
-    return merged_spans(passage_spans(segment_rows(held, words, seed), words))
+    shared = materialize(seed_rows(rows, words, seed).groupBy("seed").agg(F.count("*").alias("n")).where("n > 1"), "seeds")
+    spans = passage_spans(segment_rows(seeded(rows, shared.where(F.col("n") <= hot), words, seed), words, seed), words)
+    most = shared.where(F.col("n") > hot)
+    if not most.isEmpty():
+        windows = materialize(window_rows(seeded(rows, most, words, seed), words), "passages")
+        spans = spans.union(window_spans(windows))
+    return merged_spans(spans)

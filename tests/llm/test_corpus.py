@@ -649,8 +649,37 @@ def test_repeated_passages(spark, seed):
             words[at:at] = p[a : a + r.randint(5, 40)]
         data.append((i, "é  ".join(words[:3]) + "\n" + " ".join(words[3:])))
     data += [(100, "a " * 60), (101, data[3][1]), (102, data[3][1])]
-    got = sorted(map(tuple, suffix_dedup.repeated_passages(frame(spark, [doc(*d) for d in data]), words=12, seed=5).collect()))
-    assert got == repeats(data, 12)
+    docs = frame(spark, [doc(*d) for d in data])
+    for hot in (suffix_dedup.HOT_ROWS, 3, 0):  # no seed by its windows, some, all
+        got = sorted(map(tuple, suffix_dedup.repeated_passages(docs, words=12, seed=5, hot=hot).collect()))
+        assert got == repeats(data, 12)
+
+
+def test_passage_of_thousands_of_documents(spark):
+    """One passage in 20,000 texts that are otherwise unlike, 5,000 of them with the same words around it."""
+    r = random.Random(4)
+    passage = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(60))
+    docs = spark.range(20_000).selectExpr(
+        "id AS doc_id", f"concat(if(id % 4 = 0, 'same opening words', concat('words of ', id)), ' {passage} ', if(id % 4 = 0, 'end', concat(id, ' end'))) AS text"
+    )
+    got = suffix_dedup.repeated_passages(docs)
+    want = docs.selectExpr("doc_id", f"if(doc_id % 4 = 0, 0, instr(text, '{passage}') - 1) AS start", "text")
+    want = want.selectExpr("doc_id", "start", f"if(doc_id % 4 = 0, length(text), start + {len(passage)}) AS end")
+    assert got.count() == 20_000
+    assert got.exceptAll(want.selectExpr("doc_id", "cast(start AS long) AS start", "cast(end AS long) AS end")).isEmpty()
+
+
+def test_repeated_passages_at_the_default_lengths(spark):
+    r = random.Random(12)
+    passages = [[f"p{k}x{i}" for i in range(n)] for k, n in enumerate((49, 50, 51, 90, 200))]
+    data = []
+    for i in range(30):
+        words = [f"d{i}y{j}" for j in range(r.randint(0, 80))]
+        p = r.choice(passages)
+        words[len(words) // 2 : len(words) // 2] = p[r.randint(0, 3) :]
+        data.append((i, " ".join(words)))
+    for hot in (suffix_dedup.HOT_ROWS, 2):
+        assert sorted(map(tuple, suffix_dedup.repeated_passages(frame(spark, [doc(*d) for d in data]), hot=hot).collect())) == repeats(data, 50)
 
 
 def test_suffix_sort_is_the_order_of_the_symbols():
