@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from operator import itemgetter
+from operator import eq, itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +90,9 @@ class Leaf:
         best, most = -1, self.need - 1
         keys, index = self._keys(tokens), self.index
         near = {t for key in keys if key in index for t in index[key]}
+        probe = [None if x == WILD else x for x in tokens] if WILD in tokens else tokens
         for t in sorted(near) if len(near) > 1 else near:
-            same = sum(x == y and x != WILD for x, y in zip(tokens, self.templates[t]))
+            same = sum(map(eq, probe, self.templates[t]))
             if same > most:
                 best, most = t, same
         if best >= 0:
