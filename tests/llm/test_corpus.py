@@ -322,6 +322,76 @@ def test_secret_scan_of_long_runs():
     assert time.time() - began < 60
 
 
+def web_token(r, n):
+    pick = lambda k: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=k))
+    return f"eyJ{pick(20)}.eyJ{pick(n)}.{pick(43)}"
+
+
+def test_secrets_of_any_length_are_found_whole():
+    s = secret_scan.Scanner(secret_scan.labelled_examples(), secret_scan.MARGIN_BITS)
+    r = random.Random(8)
+    for n in (300, 1000, 1500, 4000):  # examples have less than 500 characters; the likelihood misses a few of any length
+        heads = ("see ", 'token = "', "see path/to/")
+        whole = [[(a, b) for a, b, *_ in s.spans(h + x + " then")] == [(len(h), len(h) + len(x))] for x in (web_token(r, n) for _ in range(20)) for h in heads]
+        assert sum(whole) >= 0.9 * len(whole)
+    key = "".join(r.choices("0123456789abcdef", k=256))
+    assert [x[:3] for x in s.spans("key = " + key)] == [(6, 262, "hex_token")] and not list(s.spans(key)) and not list(s.spans("commit " + key))
+    # several credentials in a row: keys aren't one long key; tokens may be one, but are covered
+    keys = ["AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)) for _ in range(100)]
+    for some in (keys[:2], keys[:3], keys):
+        assert ["_".join(some)[a:b] for a, b, *_ in s.spans("_".join(some))] == some
+    covered = 0
+    for _ in range(5):
+        tokens = [web_token(r, r.choice((40, 300, 1500))) for _ in range(20)]
+        text, at = "/".join(tokens), 0
+        found = [x[:2] for x in s.spans(text)]
+        for x in tokens:
+            covered += any(a <= at and at + len(x) <= b for a, b in found)
+            at += len(x) + 1
+    assert covered >= 0.95 * 100
+
+
+def test_best_parts_of_long_runs_equal_all_parts(monkeypatch):
+    s = secret_scan.Scanner(secret_scan.labelled_examples(40), secret_scan.MARGIN_BITS)
+    held, r = [x for _, _, x in secret_scan.labelled_examples(4, seed=78) if not x.startswith("-----")], random.Random(6)
+    held += [web_token(r, 1200), "".join(r.choices("0123456789abcdef", k=200))]
+    some = 0
+    for _ in range(60):
+        text = r.choice(("", "token = ", "commit ")) + r.choice("_/-").join(r.choices(held, k=r.randint(2, 5)))
+        monkeypatch.setattr(secret_scan, "LISTED", 1 << 30)
+        want = list(s.spans(text))
+        monkeypatch.setattr(secret_scan, "LISTED", 0)
+        got = list(s.spans(text))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=1e-6)
+        some += len(want)
+    assert some > 20
+
+
+def test_several_credentials_in_a_row_equal_all_chains():
+    s = secret_scan.Scanner(secret_scan.labelled_examples(40), secret_scan.MARGIN_BITS)
+    held, r = [x for _, secret, x in secret_scan.labelled_examples(4, seed=79) if secret and len(x) < 90 and not x.startswith("-----")], random.Random(7)
+
+    def least(run, a):
+        """(bits, parts) of the best explanation of run[a:], of all there are."""
+        out = []
+        ends = [x.start() for x in re.finditer(r"[_\-+/.=]+", run) if x.start() > a] + [len(run)]
+        for i, b in enumerate(ends):
+            after = (0.0, []) if b == len(run) else least(run, re.compile(r"[_\-+/.=]+").match(run, b).end())
+            gap = 0 if b == len(run) else 8.0 * (re.compile(r"[_\-+/.=]+").match(run, b).end() - b)
+            if b - a >= 16:
+                bits, name = min((m.cost(run[a:b], math.inf), k) for k, m in s.formats)
+                out.append((bits + gap + after[0], [(a, b, name), *after[1]]))
+            if i == 0:
+                out.append((8.0 * (b - a) + gap + after[0], after[1]))
+        return min(out)
+
+    for _ in range(40):
+        run = r.choice("_/-").join(r.choice((r.choice(held), "KEY")) for _ in range(r.randint(1, 3)))
+        if not run.endswith(("_", "-", "+", "/", ".", "=")) and len(re.findall(r"[_\-+/.=]+", run)) < 9:
+            assert s._divided(run, 0, len(run)) == least(run, 0)[1]
+
+
 # --- 3 fingerprints
 
 
