@@ -7,6 +7,7 @@ import pytest
 
 from nearfield.functions import quant
 from nearfield.operators import hnsw, ivf, knn, quantized, sweep
+from nearfield.plans import catalogue
 from nearfield.sources import synthetic
 from tests.test_operators import asked, brute, found, frame
 
@@ -104,3 +105,9 @@ def test_a_beam_for_all_rows_finds_what_is_reached_and_no_more():
     for i in range(60):
         met = set(np.flatnonzero(g._reach(np.array([start[i]]))).tolist())
         assert set(rows[who == i].tolist()) == met
+
+
+def test_graphs_that_are_compared_have_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "APPEND_ROWS", 100)
+    df = catalogue.QUERIES["hnsw_append_and_restore"](spark, "/root/testdata/sf0.001")
+    assert sorted(tuple(r) for r in df.collect()) == [("grown", True), ("packed", True), ("restored", True)]
