@@ -1,12 +1,13 @@
 """All-pairs searches: the best so far against brute force, in bounded memory."""
 
+import math
 import tracemalloc
 
 import numpy as np
 import pytest
 
 from nearfield.functions import quant
-from nearfield.operators import hnsw, ivf, knn, quantized, sweep
+from nearfield.operators import embedding, hnsw, ivf, knn, quantized, sweep
 from nearfield.plans import catalogue
 from nearfield.sources import synthetic
 from tests.test_operators import asked, brute, found, frame
@@ -111,3 +112,22 @@ def test_graphs_that_are_compared_have_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "APPEND_ROWS", 100)
     df = catalogue.QUERIES["hnsw_append_and_restore"](spark, "/root/testdata/sf0.001")
     assert sorted(tuple(r) for r in df.collect()) == [("grown", True), ("packed", True), ("restored", True)]
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
+def test_texts_meet_only_in_shared_cells(spark, broadcast_bytes):
+    words = "ant bee cat dog elk fox gnu hen".split()
+    texts = [" ".join(words[(i * j) % 8] for j in range(1, 1 + i % 5)) for i in range(60)] + ["ant bee cat"] * 3 + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = df.where("doc_id < 25 OR doc_id > 61").withColumnRenamed("doc_id", "q_id")
+    got = {}
+    # few cells: sums cancel, and products are negative
+    for r in knn.ranked(embedding.nearest_texts(q, df, 40, dimension=8, broadcast_bytes=broadcast_bytes), 40, "q_id", "doc_id").orderBy("rank").collect():
+        got.setdefault(r.q_id, []).append((r.doc_id, r.score))
+    x = embedding.hashed_sums(texts, 8)
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-9)
+    for i in (*range(25), 62, 63, 64):
+        s = {j: float(x[i] @ x[j] / norm[i] / norm[j]) for j in range(len(texts)) if ((x[i] != 0) & (x[j] != 0)).any()}
+        want = sorted((-math.copysign(math.floor(abs(v) * 1e5 + 0.5), v) / 1e5, j) for j, v in s.items())[:40]
+        assert [d for d, _ in got.get(i, [])] == [j for _, j in want]
+        assert [v for _, v in got.get(i, [])] == pytest.approx([-v for v, _ in want])
