@@ -401,3 +401,10 @@ def test_matrix_refuses_ragged_and_null():
         with pytest.raises(ValueError):
             knn.matrix(pa.array(bad, pa.list_(pa.float64())))
     assert random.Random(1).random() == random.Random(1).random()
+
+
+def test_normalising_takes_the_norm_once(spark):
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "a array<float>").select(V.normalize(F.col("a")).alias("u"))
+    assert [r.u for r in df.collect()] == [pytest.approx([0.6, 0.8]), [0.0, 0.0], None]
+    # once a vector, not once a coordinate
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
